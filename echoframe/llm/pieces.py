@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -382,7 +381,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", model: str
             data, bounds = enc.decode(np.asarray(col.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
             texts = K.strings(data, bounds).cast(pa.string())
             if col.null_count:
-                texts = pc.if_else(col.is_valid(), texts, pa.scalar(None, pa.string()))
+                texts = texts.take(pa.array(np.arange(len(col)), mask=np.asarray(col.is_null())))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [texts], names=[*keep, out])
 
     return df.mapInArrow(run, schema)

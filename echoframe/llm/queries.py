@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, pieces, quality, urls
+from . import decontam, neardup, pieces, quality, substring, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_fertility": quality.op9_quality_fertility,
 }
