@@ -254,7 +254,7 @@ class PieceTable:
 class Encoder:
     """Encodes blocks of rows with a table, remembering solved units."""
 
-    def __init__(self, pieces: PieceTable):
+    def __init__(self, pieces):
         self.t = pieces
         self._forget()
 
@@ -263,15 +263,13 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows end to end, and each row's bounds among them."""
+    def units(self, block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes to encode, bounds of the rows in them, and where units start."""
         full = np.diff(block.bounds) > 0
         heads = block.bounds[:-1][full]
         buf = np.insert(block.buf, heads, 32)
         bounds = block.bounds + np.concatenate([[0], np.cumsum(full)])
         n = len(buf)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(block.n + 1, np.int64)
         space = buf == 32
         cut = space.copy()
         cut[1:] &= ~space[:-1]
@@ -280,8 +278,14 @@ class Encoder:
             newline = np.flatnonzero(buf == 10)
             cut[newline] = True
             cut[newline[newline + 1 < n] + 1] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], n)
+        return buf, bounds, np.flatnonzero(cut)
+
+    def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows end to end, and each row's bounds among them."""
+        buf, bounds, starts = self.units(block)
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(block.n + 1, np.int64)
+        ends = np.append(starts[1:], len(buf))
         uniq, first, inverse = np.unique(K.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > CACHE_UNITS:
             self._forget()

@@ -35,14 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .bitmaps import BITMAP_BYTES, bitmap_of, fits, in_bitmap
 from .frames import schema_of, written
 
 WINDOW = 13
 SEED = 6
 BLOCK = 7  # (WINDOW + 1) // 2: an aligned block lies in any window
-#: Greatest size of the broadcast bitmap, and its bits for each recurring seed (3 % false positives, which step 3 removes).
-BITMAP_BYTES = 64 << 20
-BITS_PER_SEED = 32
 #: Recurring windows in one automaton, about; documents that one task streams through it, about.
 SHARD_WINDOWS = 100_000
 SHARD_DOCS = 4_000
@@ -103,33 +101,6 @@ def seeds_of(docs: DataFrame, with_row: bool) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def bitmap_of(seeds: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the seeds, built in slices by the executors."""
-    bits = 1 << max(16, (BITS_PER_SEED * n - 1).bit_length())
-    out = schema_of("slice long, bits binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = np.asarray(b.column(0)).view(np.uint64) & np.uint64(bits - 1)
-            part = (at >> np.uint64(16)).astype(np.int64)
-            for s in np.unique(part):
-                flags = slices.setdefault(int(s), np.zeros(1 << 13, np.uint8))
-                np.bitwise_or.at(flags, ((at[part == s] & np.uint64(0xFFFF)) >> np.uint64(3)).astype(np.int64), (1 << (at[part == s] & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([x.tobytes() for x in slices.values()], pa.binary())], names=out.names)
-
-    rows = seeds.select("seed", F.expr(f"shiftright(seed & {bits - 1}L, 16)").alias("slice")).repartition("slice").select("seed").mapInArrow(run, out)
-    got = np.zeros((bits >> 16, 1 << 13), np.uint8)
-    for s, x in rows.toLocalIterator():
-        got[s] = np.frombuffer(bytes(x), np.uint8)
-    return got.reshape(-1)
-
-
-def in_bitmap(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    at = seed & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def digest_rows(block: K.Block, w: Words, removed: np.ndarray) -> list[str]:
     """sha256 of each row's kept words, joined by one space."""
     rows = K.rows_of(w.bounds)
@@ -343,7 +314,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
     known = docs.where("doc_id IS NOT NULL")
     recurring = written(seeds_of(known, False).groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     n = recurring.count()
-    if BITS_PER_SEED * n <= 8 * bitmap_bytes:
+    if fits(n, bitmap_bytes):
         shared = spark.sparkContext.broadcast(bitmap_of(recurring, n))
 
         def is_recurring():
@@ -367,7 +338,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
 
     staged = written(candidates(source, is_recurring), "candidates")
     able = staged.where("text IS NOT NULL").select("doc_id", "row_key", "text")
-    if BITS_PER_SEED * n > 8 * bitmap_bytes:
+    if not fits(n, bitmap_bytes):
         held = able.withColumnsRenamed({"doc_id": "_a", "row_key": "_b"}).drop("text")
         probe = source.join(held.distinct(), source["doc_id"].eqNullSafe(F.col("_a")) & (source["row_key"] == F.col("_b")), "left_semi")
     else:
