@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, neardup, pieces, quality, substring, tokenshards, urls
+from . import decontam, linededup, maintext, neardup, pieces, quality, substring, surrogates, tokenshards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_html_main_text": maintext.op3_html_main_text,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
+    "op6_pii_surrogates": surrogates.op6_pii_surrogates,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_url_filter": urls.op8_url_filter,
     "op9_quality_fertility": quality.op9_quality_fertility,
