@@ -34,7 +34,7 @@ def fingerprints(tokens: Column, k: int = K, w: int = W, hash_of: Callable[[Colu
         slid = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(h, i, w)))
         return F.when(F.size(h) == 0, none).otherwise(F.array_sort(F.array_distinct(slid)))
 
-    return _bind(F.transform(kgrams(tokens, k), hash_of), minima)
+    return _bind(F.transform(kgrams(tokens, k), lambda g: hash_of(g)), minima)
 
 
 def similarity(a: Column, b: Column) -> Column:
