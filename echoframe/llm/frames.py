@@ -1,12 +1,13 @@
-"""Small helpers over DataFrames: schemas without a session, and lineage cuts in the shared folder."""
+"""Small helpers over DataFrames: schemas without a session, and tables between steps."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from echoframe.plans.storage import shared_dir, written
+
+__all__ = ["schema_of", "shared_dir", "written"]
+
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
 
 
@@ -17,22 +18,3 @@ def schema_of(text: str) -> T.StructType:
         name, kind = part.split()
         out.append(T.StructField(name, T.ArrayType(_KINDS[kind[:-2]], False) if kind.endswith("[]") else _KINDS[kind]))
     return T.StructType(out)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None and (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        at = d.get()
-    if at is None:
-        at = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df, written to a table in the shared folder and read from there: they survive lost executors and are computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/echoframe-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
