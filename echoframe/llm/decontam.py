@@ -100,10 +100,9 @@ def number_words(test: TestSet, buf: np.ndarray, starts: np.ndarray, ends: np.nd
 class SuffixArray:
     """Suffixes of `text` that begin with a number above 0, sorted up to `depth` numbers."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        n = len(text)
+    def __init__(self, text: np.ndarray, depth: int, top: int):
         self.text = np.concatenate([text, np.zeros(depth + 64, text.dtype)])
-        self.bits = max(1, int(self.text.max()).bit_length())
+        self.bits = max(1, top.bit_length())  # of the greatest number that text or a search may hold
         self.packed = max(1, 62 // self.bits)
         at = np.flatnonzero(text)
         key = np.zeros(len(at), np.int64)
@@ -209,7 +208,7 @@ def locate(block: K.Block, test: TestSet) -> Found:
     place = np.arange(len(rows)) + rows
     text = np.zeros(len(rows) + block.n + 1, np.int64)
     text[place] = number_words(test, buf, starts, ends)
-    sa = SuffixArray(text, int(test.left.max(initial=1)))
+    sa = SuffixArray(text, int(test.left.max(initial=1)), len(test.hashes))
     low, high, best, best_at = sa.search(test.words, test.left, test.window)
     row_of = np.zeros(len(text), np.int64)
     row_of[place] = rows
