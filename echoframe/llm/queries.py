@@ -21,4 +21,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_training_order": tokenshards.op10_training_order,
 }
 
-ORACLES: dict[str, str] = {}
+_SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+_ALNUM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM_WORDS}') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM_WORDS}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 8) AS n, list_slice(w, p, p + least(len(w), 8) - 1) AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, p, dw.n AS n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORDS}') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN f USING (g) WHERE first < doc_id),
+r AS (SELECT doc_id, list(q) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def _op8_sql() -> str:
+    """Rules by suffix and prefix, terms by patterns with boundaries."""
+    term = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+    strict = " OR ".join(map(term, urls.STRICT_TERMS))
+    soft = " + ".join(f"{w} * {term(t)}::INT" for t, w in urls.SOFT_TERMS.items())
+    cases = lambda k: " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{(f'{h}/{p}', v)[k]}'" for h, p, v in sorted(((*r.split("/", 1), v) for r, v in urls.RULES), key=lambda x: -len(x[0] + x[1]))
+    )
+    return f"""
+WITH a AS (SELECT page_id, {_LOWER.format("url")} AS u, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, u, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
+SELECT page_id, host, path, CASE {cases(0)} END AS rule, CASE {cases(1)} WHEN {strict} OR {soft} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM b"""
+
+
+#: The other operators have no SQL: hashes, automata, models and components; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_url_filter": _op8_sql()}

@@ -109,4 +109,4 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tu
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
