@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if at is None:
         at = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(at)
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
     return at.rstrip("/")
 
 
