@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -369,7 +369,11 @@ def replace(df: DataFrame, text: str = "text", key: str = KEY, counts: str = "en
     return df.mapInArrow(run, schema)
 
 
+def count_of(kind: str) -> Column:
+    """How many of a row's entities are of a kind."""
+    return F.size(F.filter("entities", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = replace(docs)
-    return out.select("doc_id", *(F.size(F.filter("entities", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS), (F.size("entities") > 0).alias("changed"), "text")
+    out = replace(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", *map(count_of, KINDS), (F.size("entities") > 0).alias("changed"), "text")
