@@ -27,6 +27,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/echoframe-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of the step that has ended go when the driver's JVM finds them unused, which may take long if nobody asks
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -228,9 +228,10 @@ def winnow_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", winnow.fingerprints(tokens(F.coalesce("text", F.lit(""))), hash_of=winnow.md5_hash).alias("fingerprints"))
 
 
-@query(f"WITH f AS ({_prints('benchmark', 'item_id')}), r AS (SELECT item_id, unnest(f) AS x FROM f), s AS (SELECT a.item_id AS idx1, b.item_id AS idx2, count(*) AS n FROM r a JOIN r b ON a.x = b.x AND a.item_id < b.item_id GROUP BY 1, 2) SELECT idx1, idx2, round(n / (len(a.f) + len(b.f) - n)::DOUBLE * 100, 6) AS similarity FROM s JOIN f a ON a.item_id = idx1 JOIN f b ON b.item_id = idx2")
-def winnow_item_pairs(spark, sf_dir):
-    return similar_pairs(items(spark, sf_dir), hash_of=winnow.md5_hash).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
+@query(f"WITH f AS ({_prints('(SELECT conv_id * 1000 + turn AS item_id, text FROM conversations)', 'item_id')}), r AS (SELECT item_id, unnest(f) AS x FROM f), s AS (SELECT a.item_id AS idx1, b.item_id AS idx2, count(*) AS n FROM r a JOIN r b ON a.x = b.x AND a.item_id < b.item_id GROUP BY 1, 2) SELECT idx1, idx2, round(n / (len(a.f) + len(b.f) - n)::DOUBLE * 100, 6) AS similarity FROM s JOIN f a ON a.item_id = idx1 JOIN f b ON b.item_id = idx2")
+def winnow_conversation_pairs(spark, sf_dir):
+    turns = from_table(table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), "role", "text", "conv_id")
+    return similar_pairs(turns, hash_of=winnow.md5_hash).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT doc_id, len(g)::BIGINT AS n_grams, len(list_distinct(g))::BIGINT AS n_distinct FROM ({_grams('documents', 'doc_id')})")

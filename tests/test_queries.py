@@ -37,7 +37,7 @@ def compare(spark, duck, query, sql):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", [n for n in core.QUERIES if n in core.ORACLES and n != "winnow_item_pairs"])
+@pytest.mark.parametrize("name", [n for n in core.QUERIES if n in core.ORACLES])
 def test_against_sql(spark, duck, name):
     compare(spark, duck, core.QUERIES[name], core.ORACLES[name])
 
