@@ -3,10 +3,10 @@
 Words are compared unchanged, in windows of 13. Steps:
 
 1. Seeds. Of every window the least-hashed 6-gram is its seed, so equal windows have
-   equal seeds; seeds of two rows at least recur. Only counts are shuffled.
-2. Candidates. A bitmap of the recurring seeds, of checked size, is broadcast; beyond
-   its bound the seeds are joined back to their documents instead. Documents without a
-   window under a recurring seed are finished here: nothing of theirs recurs.
+   equal seeds; seeds of two rows at least recur. Only counts are shuffled. Of rows with
+   equal texts only the first (least doc_id) goes on: windows of the others all start in it, too.
+2. Candidates. A bitmap of the recurring seeds, of checked size, is broadcast and picks the
+   windows that may recur; beyond its bound the seeds are joined back to their documents.
 3. Confirmation. Candidate windows are counted by hash; those of several documents
    recur, and their first document is known. Runs of windows that are first in one
    document are its recurring passages; they hold every recurring window once.
@@ -42,8 +42,10 @@ WINDOW = 13
 SEED = 6
 BLOCK = 7  # (WINDOW + 1) // 2: an aligned block lies in any window
 #: Recurring windows in one automaton, about; documents that one task streams through it, about.
-SHARD_WINDOWS = 100_000
+SHARD_WINDOWS = 250_000
 SHARD_DOCS = 4_000
+#: Greatest size of the broadcast list of later copies; beyond it they are joined away.
+COPIES_BYTES = 64 << 20
 
 
 class Words:
@@ -81,8 +83,8 @@ def _distinct(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 SEEDS = schema_of("doc_id long, row_key long, seed long")
 
 
-def seeds_of(docs: DataFrame, with_row: bool) -> DataFrame:
-    """Distinct seeds of each row of docs (doc_id, row_key, text)."""
+def seeds_of(docs: DataFrame, with_row: bool, is_later: Callable) -> DataFrame:
+    """Distinct seeds of each row of docs (doc_id, row_key, text) that is no later copy."""
     out = SEEDS if with_row else schema_of("seed long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +92,8 @@ def seeds_of(docs: DataFrame, with_row: bool) -> DataFrame:
             for block in K.blocks(b.column(2)):
                 w = Words(block)
                 at, _ = w.windows()
+                row = K.rows_of(w.bounds)[at]
+                at = at[~is_later(b, block)[row]]
                 seed, row = w.seeds(at), K.rows_of(w.bounds)[at]
                 first = _distinct(row, seed)
                 cols = [pa.array(seed[first].view(np.int64))]
@@ -114,35 +118,82 @@ def digest_rows(block: K.Block, w: Words, removed: np.ndarray) -> list[str]:
     return [hashlib.sha256(src[at[s] : max(at[s], at[e] - 1)]).hexdigest() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-DONE = schema_of("doc_id long, row_key long, text string, n_words long, kept_sha256 string")
+STAGED = schema_of("doc_id long, row_key long, text string, n_words long, n_removed long, kept_sha256 string")
 
 
-def candidates(docs: DataFrame, is_recurring: Callable) -> DataFrame:
-    """Rows without a candidate window, finished (text null); the others with their text."""
+def stage(docs: DataFrame, is_needed: Callable, is_later: Callable) -> DataFrame:
+    """Rows of documents with a recurring window keep their text; the others are finished: nothing is removed, or all, from later copies of a text with a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = is_recurring()
         for b in batches:
             for block in K.blocks(b.column(2)):
                 w = Words(block)
-                at, _ = w.windows()
-                row = K.rows_of(w.bounds)[at]
-                hit = test(b, block, row, w.seeds(at))
-                some = np.bincount(row[hit], minlength=block.n) > 0
+                n = np.diff(w.bounds)
+                later = is_later(b, block) & (n >= WINDOW)
+                some = is_needed(b, block) & ~is_later(b, block) & (n >= WINDOW)
+                sha = digest_rows(block, w, later[K.rows_of(w.bounds)])
                 part = b.slice(block.first, block.n)
-                some &= np.asarray(part.column(0).is_valid())
-                sha = digest_rows(block, w, np.zeros(len(w.starts), bool))
                 text = part.column(2).take(pa.array(np.arange(block.n), mask=~some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, pa.array(np.diff(w.bounds)), pa.array([None if s else x for s, x in zip(some.tolist(), sha, strict=True)], pa.string())], names=DONE.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, pa.array(n), pa.array(np.where(later, n, 0)), pa.array([None if s else x for s, x in zip(some.tolist(), sha, strict=True)], pa.string())], names=STAGED.names)
+
+    return docs.mapInArrow(run, STAGED)
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key) of rows whose text an earlier document has, whole: keys of 96 bits and a length. No text is shuffled."""
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row_key", F.hash("text").alias("k2"), F.octet_length("text").alias("size"))
+    key = ["row_key", "k2", "size"]
+    first = written(keyed.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    return written(keyed.join(first, key).where("doc_id > first").select("doc_id", "row_key").distinct(), "copies")
+
+
+def _flag(column: str) -> Callable:
+    """A test of rows by a boolean column that was joined to them."""
+    return lambda b, block: np.asarray(b.column(b.schema.get_field_index(column)).slice(block.first, block.n).fill_null(False))
+
+
+def marked_later(docs: DataFrame, later: DataFrame, most: int) -> tuple[DataFrame, Callable]:
+    """docs, and a test for later copies: by a broadcast list of checked size, or else by a joined column."""
+    if 16 * later.count() > most:
+        key = later.select(F.col("doc_id").alias("_ld"), F.col("row_key").alias("_lr"), F.lit(True).alias("later"))
+        return docs.join(key, (F.col("doc_id") == F.col("_ld")) & (F.col("row_key") == F.col("_lr")), "left").drop("_ld", "_lr"), _flag("later")
+    pairs = later.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.rec.fromarrays([np.asarray(pairs.column(0)), np.asarray(pairs.column(1))], names="d,r")))
 
-    return docs.mapInArrow(run, DONE)
+    def is_later(b: pa.RecordBatch, block: K.Block) -> np.ndarray:
+        known = shared.value
+        if not len(known):
+            return np.zeros(block.n, bool)
+        ids = b.column(0).slice(block.first, block.n)
+        mine = np.rec.fromarrays([np.asarray(ids.fill_null(0)), np.asarray(b.column(1).slice(block.first, block.n))], names="d,r")
+        place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        return (known[place] == mine) & np.asarray(ids.is_valid())
+
+    return docs, is_later
+
+
+def marked_needed(docs: DataFrame, needed: DataFrame, most: int) -> tuple[DataFrame, Callable]:
+    """docs, and a test for documents in needed (doc_id): by a broadcast bitmap (it may also let others through), or else by a joined column."""
+    n = needed.count()
+    if not fits(n, most):
+        key = needed.select(F.col("doc_id").alias("_nd"), F.lit(True).alias("needed"))
+        return docs.join(key, F.col("doc_id") == F.col("_nd"), "left").drop("_nd"), _flag("needed")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed.select(F.xxhash64("doc_id").alias("h")), n))
+    hashed = docs.withColumn("_hash", F.xxhash64("doc_id"))
+
+    def is_needed(b: pa.RecordBatch, block: K.Block) -> np.ndarray:
+        ids = b.column(0).slice(block.first, block.n)
+        h = np.asarray(b.column(b.schema.get_field_index("_hash")).slice(block.first, block.n)).view(np.uint64)
+        return in_bitmap(shared.value, h) & np.asarray(ids.is_valid())
+
+    return hashed, is_needed
 
 
 WINDOWS = schema_of("doc_id long, window long")
 
 
-def windows_of(rows: DataFrame, is_recurring: Callable) -> DataFrame:
-    """Distinct candidate windows of each row."""
+def windows_of(rows: DataFrame, is_recurring: Callable, is_later: Callable) -> DataFrame:
+    """Distinct candidate windows of each row that has a doc_id and is no later copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = is_recurring()
@@ -151,6 +202,8 @@ def windows_of(rows: DataFrame, is_recurring: Callable) -> DataFrame:
                 w = Words(block)
                 at, h = w.windows()
                 row = K.rows_of(w.bounds)[at]
+                able = np.asarray(b.column(0).slice(block.first, block.n).is_valid()) & ~is_later(b, block)
+                at, h, row = (x[able[row]] for x in (at, h, row))
                 hit = np.flatnonzero(test(b, block, row, w.seeds(at)))
                 hit = hit[_distinct(row[hit], h[hit])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(block.first, block.n).take(pa.array(row[hit])), pa.array(h[hit].view(np.int64))], names=WINDOWS.names)
@@ -304,15 +357,16 @@ def _finish(rows: DataFrame, with_text: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_bytes: int = BITMAP_BYTES, shard_windows: int = SHARD_WINDOWS, shard_docs: int = SHARD_DOCS, with_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_bytes: int = BITMAP_BYTES, shard_windows: int = SHARD_WINDOWS, shard_docs: int = SHARD_DOCS, copies_bytes: int = COPIES_BYTES, with_text: bool = False) -> DataFrame:
     """One row per row of df: words, removed words, and the digest of the kept words.
 
     with_text: only the rows with removed words, as (doc_id, row_key, n_removed, text), row_key being xxhash64 of the old text.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
-    recurring = written(seeds_of(known, False).groupBy("seed").count().where("count > 1").select("seed"), "seeds")
+    source, is_later = marked_later(docs, later_copies(docs), copies_bytes)
+    known = source.where("doc_id IS NOT NULL")
+    recurring = written(seeds_of(known, False, is_later).groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     n = recurring.count()
     if fits(n, bitmap_bytes):
         shared = spark.sparkContext.broadcast(bitmap_of(recurring, n))
@@ -321,50 +375,49 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
             bitmap = shared.value
             return lambda b, block, row, seed: in_bitmap(bitmap, seed)
 
-        source = docs
+        probe = known
     else:
-        own = seeds_of(known, True).join(recurring, "seed").groupBy("doc_id", "row_key").agg(F.collect_set("seed").alias("seeds"))
-        own = own.withColumnsRenamed({"doc_id": "_d", "row_key": "_r"})
-        source = docs.join(own, docs["doc_id"].eqNullSafe(own["_d"]) & (docs["row_key"] == own["_r"]), "left").select("doc_id", "row_key", "text", "seeds")
+        own = seeds_of(known, True, is_later).join(recurring, "seed").groupBy("doc_id", "row_key").agg(F.collect_set("seed").alias("seeds"))
+        probe = known.join(own, ["doc_id", "row_key"])
 
         def is_recurring():
             def test(b, block, row, seed):
-                lists = b.column(3).slice(block.first, block.n)
+                lists = b.column(b.schema.get_field_index("seeds")).slice(block.first, block.n)
                 owner = np.repeat(np.arange(block.n), np.asarray(lists.value_lengths().fill_null(0))).astype(np.uint64)
                 c = np.uint64(0x9E3779B97F4A7C15)
                 return np.isin(K.mix(seed + row.astype(np.uint64) * c), K.mix(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64) + owner * c))
 
             return test
 
-    staged = written(candidates(source, is_recurring), "candidates")
-    able = staged.where("text IS NOT NULL").select("doc_id", "row_key", "text")
-    if not fits(n, bitmap_bytes):
-        held = able.withColumnsRenamed({"doc_id": "_a", "row_key": "_b"}).drop("text")
-        probe = source.join(held.distinct(), source["doc_id"].eqNullSafe(F.col("_a")) & (source["row_key"] == F.col("_b")), "left_semi")
-    else:
-        probe = able
-    windows = windows_of(probe, is_recurring)
-    found = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+        order = ["doc_id", "row_key", "text"]
+        probe = probe.select(*order, *(c for c in probe.columns if c not in order))
+    windows = windows_of(probe, is_recurring, is_later)
+    found = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
     found = written(found, "windows")
     shards = max(1, -(-found.count() // shard_windows))
     shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("long")
-    mine = found.groupBy("first").agg(F.collect_list("window").alias("windows"))
-    texts = able.dropDuplicates(["doc_id", "row_key"]).select("doc_id", "text")
-    passages = written(passages_of(texts.join(mine, texts["doc_id"] == mine["first"]).select("doc_id", "text", "windows")).withColumn("shard", shard), "passages")
     routes = windows.join(found, "window").where("doc_id > first").select("doc_id", "first").distinct().withColumn("shard", shard)
     routes = written(routes.groupBy("doc_id", "shard").agg(F.collect_list("first").alias("firsts")), "routes")
+    needed = written(routes.select("doc_id").unionByName(found.select(F.col("first").alias("doc_id"))).distinct(), "needed")
+    staged = written(stage(*marked_needed(source, needed, bitmap_bytes), is_later), "staged")
+    able = staged.where("text IS NOT NULL").select("doc_id", "row_key", "text")
+    # dealt by doc_id once, for dropping repeated rows and for the join
+    once = able.repartition("doc_id").dropDuplicates(["doc_id", "row_key"])
+    mine = found.groupBy("first").agg(F.collect_list("window").alias("windows"))
+    passages = written(passages_of(once.join(mine, F.col("doc_id") == F.col("first")).select("doc_id", "text", "windows")).withColumn("shard", shard), "passages")
     salts = routes.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_docs).cast("int").alias("salts")).where("salts > 1")
     salts = written(salts, "salts")
     of_docs = routes.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc_id", "firsts")
-    streamed = able.distinct().join(of_docs, "doc_id").select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "row_key", "text", "firsts")
+    streamed = once.join(of_docs, "doc_id").select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "row_key", "text", "firsts")
     of_passages = passages.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(0).cast("long").alias("row_key"), F.col("words").alias("text"), F.lit(None).cast("array<bigint>").alias("firsts"))
     dealt = of_passages.unionByName(streamed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     spans = written(locate(dealt).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")), "spans")
     cut = able.join(spans, ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "lo", "hi")
+    done = staged.where("text IS NULL")
     if with_text:
-        return _finish(cut.where("lo IS NOT NULL").distinct(), True)
-    done = staged.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return done.unionByName(_finish(cut, False))
+        gone = done.where("n_removed > 0").select("doc_id", "row_key", "n_removed", F.lit("").alias("text"))
+        return _finish(cut.where("lo IS NOT NULL").dropDuplicates(["doc_id", "row_key"]), True).unionByName(gone.distinct())
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(_finish(cut, False))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
