@@ -8,6 +8,8 @@ their first occurrence (least doc_id, then place in the text).
 
 Only hashes are counted over the whole corpus; a bitmap of the recurring ones, of checked
 size, picks the chunks whose bytes are shuffled (beyond that size all chunks' bytes are).
+Another bitmap picks the rows that lose chunks: only these are shuffled to meet the numbers
+of their chunks, and the others never leave their task.
 
 Defined results
 ---------------
@@ -20,12 +22,13 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from .bitmaps import BITMAP_BYTES, bitmap_of, fits, in_bitmap
@@ -102,9 +105,31 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_b
     return gone.groupBy("doc_id", "row_key").agg(F.collect_set("number").alias("removed"))
 
 
-def _joined(df: DataFrame, doc_id: str, text: str, bitmap_bytes: int) -> DataFrame:
+def _each_with_removed(df: DataFrame, doc_id: str, text: str, bitmap_bytes: int, run: Callable, out: T.StructType) -> DataFrame:
+    """run() over the rows of df, with a column _gone of the chunks to remove (null: none)."""
     gone = written(removals(df, doc_id, text, bitmap_bytes).withColumnsRenamed({"doc_id": "_gone_id", "row_key": "_gone_key", "removed": "_gone"}), "removals")
-    return df.join(gone, df[doc_id].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(df[text]) == gone["_gone_key"]), "left").drop("_gone_id", "_gone_key")
+    keyed = df.withColumn("_gone_hash", F.xxhash64(df[doc_id].cast("long"), F.xxhash64(df[text])))
+    n = gone.count()
+    shared = df.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64("_gone_id", "_gone_key").alias("h")), n)) if fits(n, bitmap_bytes) else None
+    nothing = pa.list_(pa.field("element", pa.int64(), False))
+
+    def split(b: pa.RecordBatch, hit: bool) -> pa.RecordBatch:
+        at = b.schema.get_field_index("_gone_hash")
+        flags = in_bitmap(shared.value, np.asarray(b.column(at)).view(np.uint64)) if shared is not None else np.ones(b.num_rows, bool)
+        return b.filter(pa.array(flags == hit)).drop_columns(["_gone_hash"])
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield split(b, True)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (split(b, False) for b in batches)
+        yield from run(p.append_column("_gone", pa.nulls(p.num_rows, nothing)) for p in parts)
+
+    own = keyed.mapInArrow(hits, df.schema)
+    met = own.hint("merge").join(gone, own[doc_id].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(own[text]) == gone["_gone_key"]), "left").drop("_gone_id", "_gone_key")
+    done = met.mapInArrow(run, out)
+    return done if shared is None else done.unionByName(keyed.mapInArrow(others, out))
 
 
 def _kept(block: K.Block, lists: pa.Array) -> tuple[Chunks, np.ndarray]:
@@ -145,7 +170,7 @@ def apply(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
                 part = b.slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays([new if n == text else part.column(part.schema.get_field_index(n)) for n in names], names=names)
 
-    return _joined(df, doc_id, text, bitmap_bytes).mapInArrow(run, df.schema)
+    return _each_with_removed(df, doc_id, text, bitmap_bytes, run, df.schema)
 
 
 OUT = schema_of("doc_id long, n_lines long, n_chunks long, n_removed_lines long, kept_sha256 string")
@@ -165,7 +190,7 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byt
                 ], names=OUT.names)
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _joined(docs, "doc_id", "text", bitmap_bytes).select("doc_id", "text", "_gone").mapInArrow(run, OUT)
+    return _each_with_removed(docs, "doc_id", "text", bitmap_bytes, run, OUT)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
