@@ -55,7 +55,7 @@ class Band:
 DEFAULT_BANDS: dict[str, Band] = {
     "en": Band((1.6, 6.0), 0.05, (2.55, 0.622, -0.0257)),
     "de": Band((1.6, 6.0), 0.05, (2.87, 0.549, -0.0222)),
-    "es": Band((1.6, 6.0), 0.05, (2.35, 0.684, -0.0289)),
+    "es": Band((1.6, 6.0), 0.05, (2.35, 0.684, -0.0289), (-0.5, 1.5)),
     "fr": Band((1.6, 6.0), 0.05, (2.54, 0.667, -0.0275)),
     "latin": Band((1.2, 8.0), 0.2),
     "other": Band((0.3, 8.0), 0.8),
