@@ -254,6 +254,8 @@ class PieceTable:
 class Encoder:
     """Encodes blocks of rows with a table, remembering solved units."""
 
+    cache = CACHE_UNITS
+
     def __init__(self, pieces):
         self.t = pieces
         self._forget()
@@ -287,7 +289,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(block.n + 1, np.int64)
         ends = np.append(starts[1:], len(buf))
         uniq, first, inverse = np.unique(K.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > CACHE_UNITS:
+        if len(self.known) + len(uniq) > self.cache:
             self._forget()
         keys = uniq.tolist()
         slot = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
