@@ -8,7 +8,7 @@ Equal shingle sets are one class before any banding. In each bucket the class wi
 least id is the leader, and every member meets the leader only, so a bucket of n classes
 makes n - 1 pairs. Links are confirmed on the full sets. Buckets whose members are then in
 several components meet again: members outside the bucket's main component against the
-members of other components. These pairs must pass a finer sketch, one bit of each of 2,048
+members of other components. These pairs must pass a finer sketch, one bit of each of 4,096
 more coordinates of the same two permutations, within the join itself; it rules out nearly
 all pairs that are merely alike. The others are confirmed on the full sets, so every two
 classes that share a bucket are in one component, or compared, or ruled out by the sketch.
@@ -41,7 +41,7 @@ PLACES = 1 << 18
 BANDS, ROWS = 50, 6
 PERCENT = 80
 #: Coordinates of the sketch, one bit each.
-SKETCH = 2048
+SKETCH = 4096
 
 _rng = np.random.RandomState(77)
 _SIGMA = _rng.permutation(PLACES).astype(np.int32)
