@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents with passages of two benchmark items or more."""
-    return decontam.reject(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Removes documents with a window of eight words of any benchmark item, or with two items or more (of which some may be shorter)."""
+    return decontam.reject(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_window=True)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,9 +198,10 @@ class Found:
     longest: np.ndarray
     longest_item: np.ndarray
     longest_word: np.ndarray
+    full: np.ndarray  # of each row: whether it has a window of full length, of whatever item
 
 
-def locate(block: K.Block, test: TestSet) -> Found:
+def locate(block: K.Block, test: TestSet, window: int = WINDOW) -> Found:
     buf = K.LOWER[block.buf]
     starts, ends, bounds = block.segments(K.ALNUM, buf)
     rows = K.rows_of(bounds)
@@ -220,6 +221,8 @@ def locate(block: K.Block, test: TestSet) -> Found:
     which = np.repeat(found, count)
     hit = K.cover(len(text), spots, spots + test.window[which])[place]
     pairs = np.unique(row_of[spots] * max(1, len(test.ids)) + test.item[which])
+    full = np.zeros(block.n, bool)
+    full[row_of[spots[test.window[which] == window]]] = True
     # the longest match of each row, among the matches that were located, extended word by word
     longest, l_item, l_word = (np.zeros(block.n, np.int64) for _ in range(3))
     if len(spots):
@@ -233,7 +236,7 @@ def locate(block: K.Block, test: TestSet) -> Found:
         first = order[np.concatenate([[True], r[1:] != r[:-1]])]
         at = row_of[spots[first]]
         longest[at], l_item[at], l_word[at] = k[first], test.item[which[first]], word_of[spots[first]] - bounds[at]
-    return Found(np.diff(bounds), hit, bounds, pairs // max(1, len(test.ids)), pairs % max(1, len(test.ids)), longest, l_item, l_word)
+    return Found(np.diff(bounds), hit, bounds, pairs // max(1, len(test.ids)), pairs % max(1, len(test.ids)), longest, l_item, l_word, full)
 
 
 OUT = schema_of("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long")
@@ -335,8 +338,8 @@ def _merged(docs: DataFrame, shared: list, min_items: int) -> DataFrame:
     )
 
 
-def reject(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS, test_bytes: int = TEST_BYTES) -> DataFrame:
-    """The rows of df that are not contaminated, with all their columns. A test set of several blocks is scanned for in turn, and items add up by row."""
+def reject(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS, test_bytes: int = TEST_BYTES, any_window: bool = False) -> DataFrame:
+    """The rows of df that are not contaminated, with all their columns. any_window: a window of full length of a single item contaminates, too. A test set of several blocks is scanned for in turn, and items add up by row."""
     spark = df.sparkSession
     shared = [spark.sparkContext.broadcast(TestSet.of(p, window)) for p in test_blocks(bench, item_id, item_text, test_bytes)]
 
@@ -344,10 +347,14 @@ def reject(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "
         for b in batches:
             for block in K.blocks(b.column(b.schema.get_field_index(text)), SHARD_BYTES):
                 items: list[set[str]] = [set() for _ in range(block.n)]
+                full = np.zeros(block.n, bool)
                 for one in shared:
-                    for have, more in zip(items, _items_by_row(locate(block, one.value), one.value, block.n), strict=True):
+                    f = locate(block, one.value, window)
+                    full |= f.full
+                    for have, more in zip(items, _items_by_row(f, one.value, block.n), strict=True):
                         have.update(more)
-                yield b.slice(block.first, block.n).filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
+                clean = np.array([len(x) < min_items for x in items], bool)
+                yield b.slice(block.first, block.n).filter(pa.array(clean & ~full if any_window else clean))
 
     return df.mapInArrow(run, df.schema)
 

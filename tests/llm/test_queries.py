@@ -85,6 +85,17 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert back.where("NOT (text <=> again)").count() == 0
 
 
+def test_pipeline_rejects_a_passage_of_a_single_item(spark, tmp_path):
+    item = "the first of all the test items has rather more than eight words in it"
+    rows = [(1, f"before it {item} and after it"), (2, "before it the first of all the test and after it"), (3, None)]
+    spark.createDataFrame([(1, item), (2, "another item that no document has a window of at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = decontam.reject(frame(spark, rows), bench, test_bytes=1, any_window=True)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
