@@ -190,6 +190,49 @@ def test_line_dedup_keeps_columns_and_nulls(spark):
     assert out.where("text IS NULL").count() == 2
 
 
+def plain_pair_dedup(rows):
+    """plain_line_dedup, and every two lines in succession that occur before; white lines between them go with them."""
+    seen, last = {}, 1 << 63
+    chunk_places, units = {}, []
+    for i, t in rows:
+        lines, at = (t or "").split("\n"), 0
+        full = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        mine = [(n, a, b + 1, "\n".join(lines[a : b + 1])) for n, (a, b) in enumerate(zip(full, full[1:], strict=False))]
+        for n, _, _, x in mine:
+            seen.setdefault(x, []).append((last if i is None else i, t, n))
+        chunks = []
+        for n, c in enumerate(plain_chunks(t or "")):
+            chunks.append((n, at, at + len(c), "\n".join(c)))
+            chunk_places.setdefault("\n".join(c), []).append((last if i is None else i, n))
+            at += len(c)
+        units.append((i, t, lines, chunks, mine))
+    out = []
+    for i, t, lines, chunks, mine in units:
+        own, gone = last if i is None else i, set()
+        for n, a, b, x in chunks:
+            if b - a > 1 and re.search(r"[^\x20\x09-\x0D]", x) and min(chunk_places[x]) != (own, n):
+                gone |= set(range(a, b))
+        for n, a, b, x in mine:
+            d, u, m = min(seen[x], key=lambda p: (p[0], p[2]))
+            if (d, m) != (own, n) and (d, u, m) != (own, t, n - 1):
+                gone |= set(range(a, b))
+        out.append((i, len(lines), len(chunks), len(gone), sha("\n".join(x for k, x in enumerate(lines) if k not in gone))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bitmap", [1 << 20, 0])
+def test_line_dedup_takes_runs_that_hold_no_whole_chunk(spark, bitmap):
+    run = ["the first of two lines", "and the second one"]
+    rows = corpus(3) + [(1000 + i, "\n".join([f"own {i}", *run, f"other {i}"])) for i in range(9)] + [(1100, "x x\nx x\nx x\nx x\nx x"), (1101, f"y\n{run[0]}\n \n\n{run[1]}\nz"), (1102, f"{run[0]}\n \n\n{run[1]}")]
+    want = plain_pair_dedup(rows)
+    got = rows_of(linededup.digest(frame(spark, rows), bitmap_bytes=bitmap, pairs=True))
+    assert got == want
+    removed = {r[0]: r[3] for r in got}
+    assert [removed[1000 + i] for i in range(9)] == [0] + [2] * 8
+    assert (removed[1100], removed[1101], removed[1102]) == (3, 0, 4)
+    assert {r.doc_id: r.text for r in linededup.apply(frame(spark, rows), pairs=True).collect()}[1003] == "own 3\nother 3"
+
+
 def test_chunks_survive_a_shift():
     import random
 
