@@ -2,7 +2,8 @@
 
 Documents, benchmark items, conversations and pages stand in for functions: `from_table`
 makes units of any table. Every query reads its whole table. The edit-distance join compares
-all pairs that lengths allow, so its queries take the short table of benchmark items.
+all pairs that lengths allow, so most of its queries take the short table of benchmark items;
+near_document_pairs, document_summary_all and health_by_source_all take the documents.
 """
 
 from __future__ import annotations
@@ -163,6 +164,12 @@ def top_item_pairs(spark, sf_dir):
     return in_order(detect(items(spark, sf_dir), NEAR_THRESHOLD)).orderBy("rank").limit(5).select("rank", "idx1", "name1", "file1", "idx2", "name2", "file2", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def near_document_pairs(spark, sf_dir):
+    units = documents(spark, sf_dir)
+    return near_pairs(unmatched(units, exact_pairs(units)), NEAR_THRESHOLD).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
+
+
 # -- health, suggestions and report columns -------------------------------------------------------
 @query(
     _EXACT
@@ -174,7 +181,18 @@ def top_item_pairs(spark, sf_dir):
 )
 def document_summary(spark, sf_dir):
     units = documents(spark, sf_dir)
-    s = summary(units, written(exact_pairs(units), "exact"))
+    return _summary(units, written(exact_pairs(units), "exact"))
+
+
+@query()
+def document_summary_all(spark, sf_dir):
+    """document_summary over the pairs of both passes."""
+    units = documents(spark, sf_dir)
+    return _summary(units, written(detect(units, NEAR_THRESHOLD), "pairs"))
+
+
+def _summary(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    s = summary(units, pairs)
     return s.withColumns({c: F.round(c, 6) for c in ("rate_pairs", "rate_members", "score", "score_members")})
 
 
@@ -186,7 +204,18 @@ def document_summary(spark, sf_dir):
 )
 def health_by_source(spark, sf_dir):
     units = documents(spark, sf_dir)
-    pairs = exact_pairs(units).where("file1 = file2").groupBy(F.col("file1").alias("filename")).agg(F.count("*").alias("n"))
+    return _by_source(units, exact_pairs(units))
+
+
+@query()
+def health_by_source_all(spark, sf_dir):
+    """health_by_source over the pairs of both passes."""
+    units = documents(spark, sf_dir)
+    return _by_source(units, detect(units, NEAR_THRESHOLD))
+
+
+def _by_source(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("file1 = file2").groupBy(F.col("file1").alias("filename")).agg(F.count("*").alias("n"))
     h = units.groupBy("filename").agg(F.count("*").alias("n_units")).join(pairs, "filename", "left").withColumn("n_pairs", F.coalesce("n", F.lit(0).cast("long")))
     h = h.withColumn("score", health.health_score(health.pair_rate(F.col("n_pairs"), F.col("n_units")), F.lit(0), False))
     return h.select("filename", "n_units", "n_pairs", F.round("score", 6).alias("score"), health.grade(F.col("score")).alias("grade"), health.grade_plus(F.col("score")).alias("grade_plus"), health.grade_color(F.col("score")).alias("color"))

@@ -49,3 +49,14 @@ def test_entry(spark):
 
 def test_registries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_health_counts_near_pairs_of_documents(spark, tmp_path):
+    body = " ".join(f"word{i} + {i};" for i in range(40))
+    rows = [(1, body, "a", "s", 1), (2, body.replace("+ 7;", "- 7;"), "b", "s", 1), (3, "int x;", "c", "s", 1), (4, "int x;", "d", "t", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    near = core.QUERIES["near_document_pairs"](spark, str(tmp_path)).collect()
+    assert [(r.idx1, r.idx2) for r in near] == [(1, 2)] and 70 <= near[0].similarity < 100
+    s = core.QUERIES["document_summary_all"](spark, str(tmp_path)).first()
+    assert (s.n_pairs, s.n_exact, s.n_near, s.n_members) == (2, 1, 1, 4)
+    assert {r.filename: r.n_pairs for r in core.QUERIES["health_by_source_all"](spark, str(tmp_path)).collect()} == {"s": 1, "t": 0}
