@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,16 +37,23 @@ from .frames import schema_of
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-#: Units solved and kept by a worker; then the memory is emptied.
-CACHE_UNITS = 400_000
-#: Score of a character that falls back to its bytes: below that of any piece.
-UNKNOWN = -1e12
+#: Constants of the Zipf-Mandelbrot law, by which merge ranks become log scores: p ~ 1 / (rank + SHIFT).
+SHIFT = 2.7
 #: Bytes of text that are encoded together.
 TEXT_BYTES = 4 << 20
 #: Longer units are solved one by one.
 WIDE = 96
 
 
+def log_scores(pieces: list[tuple[bytes, float, int]]) -> list[tuple[bytes, float, int]]:
+    """Pieces with log probabilities. Scores that are merge ranks (whole numbers from 0 down, as in merge models) become those of the law of SHIFT, a piece beyond the last rank having that one; others are log probabilities already."""
+    if len(pieces) < 2 or any(s > 0 or s != int(s) for _, s, _ in pieces):
+        return pieces
+    weight = [1 / (SHIFT + min(-s, len(pieces))) for _, s, _ in pieces]
+    total = math.log(sum(weight))
+    return [(p, math.log(w) - total, i) for (p, _, i), w in zip(pieces, weight, strict=True)]
+
+
 @dataclass
 class PieceTable:
     """A double-array trie of pieces; broadcast to the executors (about 25 bytes a node)."""
@@ -60,6 +68,7 @@ class PieceTable:
     pool_at: np.ndarray
     split_newline: bool
     longest: int
+    fallback: float
 
     @classmethod
     def build(cls, pieces: list[tuple[bytes, float, int]], byte_ids: dict[int, int], size: int) -> PieceTable:
@@ -111,7 +120,7 @@ class PieceTable:
         at = np.zeros(size + 1, np.int64)
         np.cumsum([len(x) for x in text], out=at[1:])
         single = np.array([len(x.decode(errors='replace')) == 1 for x in text])
-        return cls(base, check, value, scores, single, ids, np.frombuffer(b"".join(text), np.uint8), at, not any(b"\n" in p for p, _, _ in pieces), max([len(p) for p, _, _ in pieces], default=1))
+        return cls(base, check, value, scores, single, ids, np.frombuffer(b"".join(text), np.uint8), at, not any(b"\n" in p for p, _, _ in pieces), max([len(p) for p, _, _ in pieces], default=1), -2 * WIDE * (1 + float(np.abs(scores).max(initial=0))))
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -125,7 +134,7 @@ class PieceTable:
                 byte_ids[int(p[3:5], 16)] = i
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 pieces.append((p.replace(MARKER, " ").encode(), m.get_score(i), i))
-        return cls.build(pieces, byte_ids, n)
+        return cls.build(log_scores(pieces), byte_ids, n)
 
     def solve(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best segmentations of byte ranges: ids end to end, and how many each range has."""
@@ -134,7 +143,7 @@ class PieceTable:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         edges = [0, 4, 6, 8, 10, 12, 16, 24, 40, WIDE]
         for low, high in zip(edges, edges[1:], strict=False):
-            for at in np.array_split(np.flatnonzero((sizes > low) & (sizes <= high)), max(1, int(((sizes > low) & (sizes <= high)).sum()) * high // 4_000_000 + 1)):
+            for at in np.array_split(np.flatnonzero((sizes > low) & (sizes <= high)), max(1, int(((sizes > low) & (sizes <= high)).sum()) * high // 1_000_000 + 1)):
                 if len(at):
                     rows, order, ids = self._solve_many(buf, starts[at], sizes[at])
                     counts[at] = np.bincount(rows, minlength=len(at))
@@ -189,7 +198,7 @@ class PieceTable:
             if len(rest):  # the character's bytes
                 first = grid[s, rest]
                 size = np.minimum(1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0), sizes[rest] - s)
-                cand = best[s, rest] + UNKNOWN
+                cand = best[s, rest] + self.fallback
                 better = cand > best[s + size, rest]
                 r, e = rest[better], (s + size)[better]
                 best[e, r], back[e, r], piece[e, r] = cand[better], s, -1
@@ -214,12 +223,14 @@ class PieceTable:
         return rows, np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per), ids
 
     def _solve_one(self, unit: bytes) -> np.ndarray:
+        """As _solve_many, for one unit of any length: fewest fallbacks first, then the greatest score."""
         n = len(unit)
-        base, check, value, scores, low = self._lists()
-        best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
+        base, check, value, scores, low = memoryview(self.base), memoryview(self.check), memoryview(self.value), memoryview(self.scores), len(self.check)
+        lost, best, back, piece = [n + 1] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        lost[0] = 0
         for s in range(n):
-            if best[s] == -np.inf:
+            f, here = lost[s], best[s]
+            if f > n:
                 continue
             size = min(1 + (unit[s] >= 0xC0) + (unit[s] >= 0xE0) + (unit[s] >= 0xF0), n - s)
             state, single = 0, False
@@ -231,10 +242,10 @@ class PieceTable:
                 v = value[state]
                 if v >= 0:
                     single |= j + 1 == s + size
-                    if best[s] + scores[v] > best[j + 1]:
-                        best[j + 1], back[j + 1], piece[j + 1] = best[s] + scores[v], s, v
-            if not single and best[s] + UNKNOWN > best[s + size]:
-                best[s + size], back[s + size], piece[s + size] = best[s] + UNKNOWN, s, -1
+                    if f < lost[j + 1] or f == lost[j + 1] and here + scores[v] > best[j + 1]:
+                        lost[j + 1], best[j + 1], back[j + 1], piece[j + 1] = f, here + scores[v], s, v
+            if not single and (f + 1 < lost[s + size] or f + 1 == lost[s + size] and here > best[s + size]):
+                lost[s + size], best[s + size], back[s + size], piece[s + size] = f + 1, here, s, -1
         out, e = [], n
         while e:
             b = back[e]
@@ -242,28 +253,11 @@ class PieceTable:
             e = b
         return np.array(out[::-1], np.int32)
 
-    def _lists(self):
-        if not hasattr(self, "_as_lists"):
-            self._as_lists = (self.base.tolist(), self.check.tolist(), self.value.tolist(), self.scores.tolist(), len(self.check))
-        return self._as_lists
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
-
 class Encoder:
-    """Encodes blocks of rows with a table, remembering solved units."""
-
-    cache = CACHE_UNITS
+    """Encodes blocks of rows with a table. Equal units of a block, by their bytes, are solved once; nothing is kept between blocks."""
 
     def __init__(self, pieces):
         self.t = pieces
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def units(self, block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes to encode, bounds of the rows in them, and where units start."""
@@ -287,29 +281,12 @@ class Encoder:
         buf, bounds, starts = self.units(block)
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(block.n + 1, np.int64)
-        ends = np.append(starts[1:], len(buf))
-        uniq, first, inverse = np.unique(K.byte_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.cache:
-            self._forget()
-        keys = uniq.tolist()
-        slot = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            ids, counts = self.t.solve(buf, starts[first[new]], ends[first[new]])
-            n0 = len(self.known)
-            while len(self.ids) < self.used + len(ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.at) < n0 + len(new):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[n0 : n0 + len(new)] = self.used + np.cumsum(counts) - counts
-            self.size[n0 : n0 + len(new)] = counts
-            self.used += len(ids)
-            slot[new] = np.arange(n0, n0 + len(new))
-            self.known.update((keys[i], s) for i, s in zip(new.tolist(), range(n0, n0 + len(new)), strict=True))
-        slot = slot[inverse]
-        size = self.size[slot]
-        out = K.gather(self.ids, self.at[slot], size)
+        coded = K.distinct(buf, np.append(starts, len(buf)))
+        own, at = K.bytes_of(coded.dictionary)
+        ids, counts = self.t.solve(own, at[:-1], at[1:])
+        slot = np.asarray(coded.indices)
+        size = counts[slot]
+        out = K.gather(ids, (np.cumsum(counts) - counts)[slot], size)
         acc = np.concatenate([[0], np.cumsum(size)])
         return out, acc[np.searchsorted(starts, bounds)]
 
@@ -414,6 +391,8 @@ def encode_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
                 same = np.diff(at) == np.diff(block.bounds)
                 if same.all():
                     same = block.count(back != block.buf) == 0
+                else:  # lengths differ somewhere: row by row
+                    same = np.array([x and bool((back[at[k] : at[k + 1]] == block.buf[block.bounds[k] : block.bounds[k + 1]]).all()) for k, x in enumerate(same.tolist())])
                 raw = ids.astype("<i4")
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(block.first, block.n), pa.array(block.count(K.LEADS[block.buf])), pa.array(np.diff(bounds)), pa.array(K.per_row(is_byte[ids], bounds)),

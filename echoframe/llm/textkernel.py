@@ -186,6 +186,13 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)] if total else pool[:0]
 
 
+def distinct(data: np.ndarray, bounds: np.ndarray) -> pa.DictionaryArray:
+    """The byte strings data[bounds[i]:bounds[i+1]] as indices into their distinct ones; equality is that of bytes."""
+    small = len(data) < 2**31 - 1
+    kind, width = (pa.binary(), np.int32) if small else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(width)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
 def strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A string column of data[bounds[i]:bounds[i+1]]."""
     if len(data) < 2**31 - 1:

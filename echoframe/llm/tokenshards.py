@@ -5,24 +5,30 @@ end-of-text id and is cut into sequences of fixed length, the last one filled up
 pass counts the sequences of every input block, so that each sequence has a number in file
 and row order; a keyed Feistel network with cycle-walking turns numbers into global
 slots, one to one. A second pass sends each sequence to the partition that holds its
-range of slots, which sorts them and writes one binary file of fixed stride. Any
-range of slots is then one sequential read, and a run that stopped goes on at its slot.
+range of slots, which Spark sorts, and which is streamed to binary files of fixed stride. Any
+range of slots is then one sequential read.
+
+Both passes encode: keeping the ids of the first one would take more disk than it saves time.
 
 Defined results
 ---------------
 * A null or empty text has no sequence. Repeated rows have sequences of their own.
 * The order depends on the key, the number of sequences, and the order of rows in the files (by path), not on how the files are split into tasks.
-* A shard that is there with its full size is not written again; a new one appears whole or not at all.
+* The manifest names key, vocabulary and a digest of all ids. A folder with another run's manifest is refused, unless overwrite=True empties it first.
+* A shard appears whole or not at all; one that is there is left alone if its bytes are the same (size and CRC-32), and written anew otherwise.
+* Frames that are no plain scan of files (behind a shuffle, a join, a limit) are written to the shared folder first, which fixes their order.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +66,51 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 class ByteBpe:
     """A byte-level vocabulary; its units start at white space after something else, where its pattern always splits."""
 
-    def __init__(self, path: str):
+    def __init__(self, ranks: bytes):
         import public_tokenizers
         import tiktoken
 
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.sizes = np.zeros(max(table.values()) + 1, np.int64)  # bytes of each id
+        self.sizes[list(table.values())] = list(map(len, table))
+
+    @classmethod
+    def load(cls, path: str) -> ByteBpe:
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return cls(f.read())
 
     def solve(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, encode = buf.tobytes(), self.encoding._core_bpe.encode_ordinary
-        ids = [encode(raw[s:e].decode()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        """Ids of the units end to end, and how many each has.
+
+        Units that begin at white space and end with something else are encoded in one piece, as
+        the pattern splits between them; the others one by one.
+        """
+        last = buf[ends - 1]
+        size = ends - starts
+        # a byte above 0x7F may end white space of several bytes
+        odd = (last >= 0x80) & ((size < 3) | (buf[np.maximum(ends - 2, 0)] == 0xC2) | np.isin(buf[np.maximum(ends - 3, 0)], (0xE1, 0xE2, 0xE3)))
+        plain = ~K.NOT_SPACE[buf[starts]] & K.NOT_SPACE[last] & ~odd & ~((last >= 0x1C) & (last <= 0x1F))
+        counts = np.zeros(len(starts), np.int64)
+        encode = self.encoding._core_bpe.encode_ordinary
+        some = np.flatnonzero(plain)
+        joined = K.gather(buf, starts[some], size[some])
+        many = np.array(encode(joined.tobytes().decode()), np.int32)
+        edge = np.concatenate([[0], np.cumsum(size[some])])
+        at = np.searchsorted(np.concatenate([[0], np.cumsum(self.sizes[many])]), edge)
+        counts[some] = np.diff(at)
+        raw = buf.tobytes()
+        rest = np.flatnonzero(~plain)
+        alone = [encode(raw[s:e].decode()) for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        counts[rest] = [len(x) for x in alone]
+        out = np.empty(int(counts.sum()), np.int32)
+        where = np.repeat(plain, counts)
+        out[where] = many
+        out[~where] = [i for x in alone for i in x]
+        return out, counts
 
 
 class BpeEncoder(pieces.Encoder):
-    cache = 1_000_000  # about 150 MB of a worker
-
     def units(self, block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b = block.buf
         space = ~K.NOT_SPACE[b]
@@ -95,14 +129,22 @@ class BpeEncoder(pieces.Encoder):
 _encoder: tuple[str, BpeEncoder] | None = None
 
 
-def encoder_of(path: str) -> BpeEncoder:
-    """This worker's encoder; the vocabulary file lies at the same path on every machine."""
+def encoder_of(shared) -> BpeEncoder:
+    """This worker's encoder of a broadcast vocabulary."""
     global _encoder
-    if _encoder is None or _encoder[0] != path:
-        _encoder = (path, BpeEncoder(ByteBpe(path)))
+    key, ranks = shared.value
+    if _encoder is None or _encoder[0] != key:
+        _encoder = (key, BpeEncoder(ByteBpe(ranks)))
     return _encoder[1]
 
 
+def shared_ranks(spark: SparkSession, path: str | None = None):
+    """A broadcast of a vocabulary file's digest and bytes (about a megabyte), so that only the driver reads it."""
+    with open(path or os.path.join(pieces.TOKENIZER_DIR, VOCABULARY), "rb") as f:
+        ranks = f.read()
+    return spark.sparkContext.broadcast((hashlib.sha256(ranks).hexdigest(), ranks))
+
+
 def store(uri: str):
     """File system and path of a folder's URI."""
     from pyarrow import fs
@@ -112,34 +154,97 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+class ShardFile:
+    """A file that is written as a stream under another name, and takes its own name once it is whole."""
+
+    def __init__(self, uri: str, name: str):
+        self.files, path = store(uri)
+        self.target = f"{path}/{name}"
+        self.files.create_dir(path, recursive=True)
+        self.part = f"{self.target}.{uuid.uuid4().hex}"
+        self.out = self.files.open_output_stream(self.part)
+        self.size = self.crc = 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size, self.crc = self.size + len(data), zlib.crc32(data, self.crc)
+
+    def close(self) -> None:
+        """Puts the file in its place, unless one of the same bytes is there."""
+        self.out.close()
+        self.out = None
+        if self._same():
+            self.files.delete_file(self.part)
+        else:
+            self.files.move(self.part, self.target)
+
+    def _same(self) -> bool:
+        if self.files.get_file_info(self.target).size != self.size:
+            return False
+        crc = 0
+        with self.files.open_input_stream(self.target) as f:
+            while data := f.read(8 << 20):
+                crc = zlib.crc32(data, crc)
+        return crc == self.crc
+
+    def drop(self) -> None:
+        """Takes the unfinished file away."""
+        if self.out is not None:
+            self.out.close()
+            self.files.delete_file(self.part)
+
+
 def put(uri: str, name: str, data: bytes) -> None:
-    """Writes a file whole, under another name first; leaves one of that size alone."""
-    files, path = store(uri)
-    target = f"{path}/{name}"
-    if files.get_file_info(target).size == len(data):
-        return
-    files.create_dir(path, recursive=True)
-    part = f"{target}.{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
-        out.write(data)
-    files.move(part, target)
+    """Writes a file whole; leaves one of the same bytes alone."""
+    f = ShardFile(uri, name)
+    f.write(data)
+    f.close()
 
 
-def _counts(rows: DataFrame, path: str, length: int) -> DataFrame:
-    out = schema_of("file string, block long, n long")
+def claim(uri: str, manifest: dict, overwrite: bool) -> None:
+    """Writes the manifest. A folder with another one is emptied if `overwrite`, else refused."""
+    files, path = store(uri)
+    if files.get_file_info(f"{path}/manifest.json").size is not None:
+        with files.open_input_stream(f"{path}/manifest.json") as f:
+            other = json.loads(f.read()) != manifest
+        if other and not overwrite:
+            raise ValueError(f"{uri} holds the shards of another run; overwrite=True replaces them")
+        if other:
+            files.delete_dir_contents(path)
+    put(uri, "manifest.json", json.dumps(manifest).encode())
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether df is a plain scan of files, so that each of its rows knows its file and comes in the file's order."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation"):
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return bool(df.inputFiles())
+
+
+def _counts(rows: DataFrame, ranks, length: int) -> DataFrame:
+    """Sequences of each split of an input file, and a digest of its ids, which does not depend on the order of splits."""
+    out = schema_of("file string, block long, n long, digest long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sums = encoder_of(path), {}
+        enc, sums = encoder_of(ranks), {}
         for b in batches:
             files, starts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for block in K.blocks(b.column(3), pieces.TEXT_BYTES):
-                n = _sequences(np.diff(enc.encode(block)[1]), length)
+                ids, bounds = enc.encode(block)
+                n = _sequences(np.diff(bounds), length).tolist()
+                digest = K.span_hash(ids.astype(np.uint64), bounds[:-1], bounds[1:]).view(np.int64).tolist()
                 for k in range(block.n):
                     at = files[block.first + k], starts[block.first + k]
-                    sums[at] = sums.get(at, 0) + int(n[k])
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())], names=out.names)
+                    old, held = sums.get(at, (0, 0))
+                    sums[at] = old + n[k], held ^ digest[k]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=out.names)
 
-    return rows.mapInArrow(run, out).groupBy("file", "block").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, out).groupBy("file", "block").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"))
 
 
 def _sequences(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -147,77 +252,114 @@ def _sequences(tokens: np.ndarray, length: int) -> np.ndarray:
     return np.where(tokens > 0, -(-(tokens + 1) // length), 0)
 
 
-PLACED = schema_of("shard int, slot long, doc_id long, sequence long, n_tokens int, ids binary")
+@dataclass(frozen=True)
+class Splits:
+    """Splits of the input files: sorted hashes of (file, block), and the number of the first sequence of each. 16 bytes a split."""
+
+    keys: np.ndarray
+    first: np.ndarray
 
+    def number(self, key: int) -> int:
+        return int(self.first[np.searchsorted(self.keys, key)])
+
+
+PLACED = schema_of("part int, slot long, doc_id long, sequence long, ids binary")
+
+
+def _placed(rows: DataFrame, ranks, length: int, end: int, splits, total: int, key: int, per_part: int) -> DataFrame:
+    """Every sequence with its slot; ids of two bytes, not filled up. rows: (split, doc_id, text)."""
 
-def _placed(rows: DataFrame, path: str, length: int, end: int, first, total: int, key: int, per_shard: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder_of(path), {}
+        enc, seen = encoder_of(ranks), {}
         for b in batches:
-            files, starts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for block in K.blocks(b.column(3), pieces.TEXT_BYTES):
+            split = np.asarray(b.column(0))
+            for block in K.blocks(b.column(2), pieces.TEXT_BYTES):
                 ids, bounds = enc.encode(block)
                 tokens = np.diff(bounds)
                 n = _sequences(tokens, length)
+                acc = np.concatenate([[0], np.cumsum(n)])
+                own = split[block.first : block.first + block.n]
                 base = np.zeros(block.n, np.int64)
-                for k in range(block.n):
-                    at = files[block.first + k], starts[block.first + k]
-                    base[k] = seen.get(at, first.value[at])
-                    seen[at] = int(base[k] + n[k])
+                cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [block.n]])
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    at = int(own[s])
+                    if at not in seen:
+                        seen[at] = splits.value.number(at)
+                    base[s:e] = seen[at] + acc[s:e] - acc[s]
+                    seen[at] += int(acc[e] - acc[s])
                 row = np.repeat(np.arange(block.n), n)
-                ends = np.cumsum(n)
-                number = np.arange(len(row)) - (ends - n)[row]
-                out = np.full(len(row) * length, end, "<u2")
-                owner = K.rows_of(bounds)
-                out[((ends - n) * length)[owner] + np.arange(len(ids)) - bounds[owner]] = ids
-                slot = feistel(base[row] + number, total, key)
+                number = np.arange(len(row)) - acc[:-1][row]
+                full = np.flatnonzero(tokens > 0)
+                stream = np.insert(ids.astype("<u2"), bounds[1:][full], end)
                 left = np.minimum(tokens[row] + 1 - number * length, length)
-                offsets = np.arange(len(row) + 1, dtype=np.int64) * (2 * length)
-                data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), b.column(2).slice(block.first, block.n).take(pa.array(row)), pa.array(number), pa.array(left.astype(np.int32)), data], names=PLACED.names)
+                offsets = np.concatenate([[0], np.cumsum(2 * left)]).astype(np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(stream)])
+                slot = feistel(base[row] + number, total, key)
+                yield pa.RecordBatch.from_arrays([pa.array((slot // per_part).astype(np.int32)), pa.array(slot), b.column(1).slice(block.first, block.n).take(pa.array(row)), pa.array(number), data], names=PLACED.names)
 
     return rows.mapInArrow(run, PLACED)
 
 
 OUT = schema_of("slot long, shard long, byte_offset long, doc_id long, sequence long, n_tokens long, crc32 long")
+#: Partitions of the second pass; beyond it a partition writes several shards in a row.
+MOST_PARTS = 100_000
 
 
-def materialise(df: DataFrame, to: str, key: int = 20240229, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, per_shard: int = SHARD_SEQUENCES, vocabulary: str | None = None, end: int = END_OF_TEXT) -> DataFrame:
-    """Writes shards and a manifest to the folder `to` (a URI all machines reach), as the returned rows are computed: one per sequence.
-
-    The rows of df must come from files, whose order numbers them; others are written to the shared folder first.
-    """
+def materialise(df: DataFrame, to: str, key: int = 20240229, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, per_shard: int = SHARD_SEQUENCES, vocabulary: str | None = None, end: int = END_OF_TEXT, overwrite: bool = False) -> DataFrame:
+    """Writes shards and a manifest to the folder `to` (a URI all machines reach), as the returned rows are computed: one per sequence."""
     spark = df.sparkSession
-    path = vocabulary or os.path.join(pieces.TOKENIZER_DIR, VOCABULARY)
-    if not df.inputFiles():
+    ranks = shared_ranks(spark, vocabulary)
+    if not _scanned(df):
         df = written(df.select(doc_id, text), "sequences")
-    rows = df.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # one row for each block of an input file: as many as the scan has splits, which the driver plans anyway
-    first, total = {}, 0
-    for file, block, n in sorted(tuple(r) for r in _counts(rows, path, length).collect()):
-        first[file, block] = total
-        total += n
+    file, block = F.input_file_name(), F.input_file_block_start()
+    rows = df.select(file.alias("file"), block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # a few bytes for each split of an input file, as many as the driver plans anyway
+    counts = _counts(rows, ranks, length).orderBy("file", "block").select(F.xxhash64("file", "block").alias("split"), "n", "digest").toArrow()
+    n, keys = np.asarray(counts["n"], np.int64), np.asarray(counts["split"], np.int64)
+    order = np.argsort(keys)
+    if len(np.unique(keys)) < len(keys):
+        raise RuntimeError("two splits have the same hash")
+    splits = Splits(keys[order], (np.cumsum(n) - n)[order])
+    total = int(n.sum())
     shards = max(1, -(-total // per_shard))
+    per_part = per_shard * -(-shards // MOST_PARTS)
     stride = 2 * length
-    put(to, "manifest.json", json.dumps({"sequences": total, "length": length, "dtype": "<u2", "stride": stride, "per_shard": per_shard, "shards": shards, "key": key, "end_of_text": end}).encode())
-    placed = _placed(rows, path, length, end, spark.sparkContext.broadcast(first), total, key, per_shard)
+    digest = hashlib.sha256(np.ascontiguousarray(np.stack([n, np.asarray(counts["digest"], np.int64)])).astype("<i8").tobytes()).hexdigest()
+    claim(to, {"sequences": total, "length": length, "dtype": "<u2", "stride": stride, "per_shard": per_shard, "shards": shards, "key": key, "end_of_text": end, "vocabulary": ranks.value[0], "input": digest}, overwrite)
+    placed = _placed(df.select(F.xxhash64(file, block).alias("split"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ranks, length, end, spark.sparkContext.broadcast(splits), total, key, per_part)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-        if whole is None:
-            return
-        slot = np.asarray(whole.column(1))
-        order = np.argsort(slot)
-        whole, slot = whole.drop_columns(["ids"]).take(pa.array(order)), slot[order]
-        data = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8)[c.offset * stride : (c.offset + len(c)) * stride].reshape(-1, stride) for b in batches for c in [b.column(5)]])[order]
-        shard = int(slot[0]) // per_shard
-        if not (slot == np.arange(shard * per_shard, min((shard + 1) * per_shard, total))).all():
-            raise RuntimeError(f"shard {shard} has slots missing or twice")
-        put(to, f"shard-{shard:08d}.bin", data.tobytes())
-        n = len(slot)
-        yield from pa.Table.from_arrays([pa.array(slot), pa.array(np.full(n, shard)), pa.array((slot % per_shard) * stride), whole.column("doc_id"), whole.column("sequence"), whole.column("n_tokens").cast(pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64())], names=OUT.names).combine_chunks().to_batches(max_chunksize=10_000)
-
-    return placed.repartitionById(shards, F.col("shard")).mapInArrow(write, OUT)
+        out, due = None, None
+        try:
+            for b in batches:
+                slot = np.asarray(b.column(1))
+                if not len(slot):
+                    continue
+                due = int(slot[0]) // per_part * per_part if due is None else due
+                if not (slot == np.arange(due, due + len(slot))).all():
+                    raise RuntimeError(f"slots are missing or twice from {due} on")
+                ids, at = K.bytes_of(b.column(4))
+                data = np.full((len(slot), length), end, "<u2")
+                size = np.diff(at) // 2
+                data.reshape(-1)[np.repeat(np.arange(len(slot)) * length - at[:-1] // 2, size) + np.arange(len(ids) // 2)] = ids.view("<u2")
+                shard = slot // per_shard
+                for k in np.unique(shard).tolist():
+                    own = data[shard == k].tobytes()
+                    out = out or ShardFile(to, f"shard-{k:08d}.bin")
+                    out.write(own)
+                    if out.size == stride * min(per_shard, total - k * per_shard):
+                        out.close()
+                        out = None
+                due += len(slot)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(shard), pa.array((slot % per_shard) * stride), b.column(2), b.column(3), pa.array(size), pa.array([zlib.crc32(x) for x in data], pa.int64())], names=OUT.names)
+            if due is not None and due != total and due % per_part:
+                raise RuntimeError(f"slots are missing from {due} on")
+        finally:
+            if out is not None:
+                out.drop()
+
+    parts = max(1, -(-total // per_part))
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("slot").mapInArrow(write, OUT)
 
 
 def read(at: str, start: int = 0, count: int | None = None) -> Iterator[np.ndarray]:

@@ -3,13 +3,14 @@ import html
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from echoframe.llm import decontam, maintext, pieces, quality, surrogates, tokenshards, urls
+from echoframe.llm import decontam, maintext, neardup, pieces, quality, surrogates, tokenshards, urls
 from echoframe.llm import textkernel as K
 from tests.llm.fixtures import SCHEMA, corpus, frame, words
 
@@ -22,11 +23,36 @@ def rows_of(df):
 
 @pytest.fixture(scope="module")
 def library():
-    """The sentencepiece library on the same pieces, told to segment by unigram scores."""
+    """The sentencepiece library on the same pieces with the table's log scores, told to segment by unigram scores."""
+    import struct
+
     import sentencepiece
 
+    def number(at):
+        n = shift = 0
+        while True:
+            n |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return n, at
+
     with open(MODEL, "rb") as f:
-        return sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x12\x02\x18\x01")
+        raw = f.read()
+    out, at, i, scores = bytearray(), 0, 0, pieces.PieceTable.load(MODEL).scores
+    while at < len(raw):
+        start = at
+        tag, at = number(at)
+        size, body = number(at)
+        part = raw[start : (at := body + size)]
+        if tag == 10:  # a piece; its score is a float with the tag 0x15, behind the piece's own bytes
+            n, skip = number(body + 1)
+            cut = skip + n - start
+            assert part[cut] == 0x15
+            if scores[i]:
+                part = part[: cut + 1] + struct.pack("<f", scores[i]) + part[cut + 5 :]
+            i += 1
+        out += part
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(out) + b"\x12\x02\x18\x01")
 
 
 # -- pieces -------------------------------------------------------------------------------------------
@@ -294,7 +320,7 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
     assert sorted(r.slot for r in got) == list(range(n)) and all(r.byte_offset == r.slot % 40 * 64 for r in got)
     data = np.stack(list(tokenshards.read(to)))
     assert data.shape == (n, 32) and (np.stack(list(tokenshards.read(to, 37, 50))) == data[37:87]).all()
-    bpe = tokenshards.ByteBpe(f"{pieces.TOKENIZER_DIR}/{tokenshards.VOCABULARY}").encoding
+    bpe = tokenshards.ByteBpe.load(f"{pieces.TOKENIZER_DIR}/{tokenshards.VOCABULARY}").encoding
     mine = {}
     for r in got:
         mine.setdefault(r.doc_id, []).append((r.sequence, r.n_tokens, data[r.slot]))
@@ -312,11 +338,72 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
             assert sum(k for _, k, _ in mine[i]) == sum(map(len, texts))
     # a second run finds its shards and gives the same rows
     assert rows_of(tokenshards.materialise(df, to, length=32, per_shard=40)) == rows_of(out)
+    # a shard of other bytes is mended; another run is refused, or replaces them all
+    tokenshards.put(to, "shard-00000001.bin", b"x" * 40 * 64)
+    tokenshards.materialise(df, to, length=32, per_shard=40).count()
+    assert (np.stack(list(tokenshards.read(to))) == data).all()
+    with pytest.raises(ValueError, match="another run"):
+        tokenshards.materialise(df, to, key=2, length=32, per_shard=40)
+    other = tokenshards.materialise(df, to, key=2, length=32, per_shard=40, overwrite=True).collect()
+    new = np.stack(list(tokenshards.read(to)))
+    assert {(r.slot, r.crc32) for r in other} == {(k, zlib.crc32(x.tobytes())) for k, x in enumerate(new)} and (new != data).any()
+    assert sorted(x.tobytes() for x in new) == sorted(x.tobytes() for x in data)
+
+
+def plain_shards(rows, length, key):
+    """Sequences in the order of their slots, from rows in file order."""
+    bpe = tokenshards.ByteBpe.load(f"{pieces.TOKENIZER_DIR}/{tokenshards.VOCABULARY}").encoding
+    all_ = []
+    for _, t in rows:
+        ids = [*bpe.encode_ordinary(t), tokenshards.END_OF_TEXT] if t else []
+        all_ += [ids[k : k + length] + [tokenshards.END_OF_TEXT] * (k + length - len(ids)) for k in range(0, len(ids), length)]
+    n = len(all_)
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask, u64 = (1 << half) - 1, (1 << 64) - 1
+
+    def mix(h):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ h >> shift) * by & u64
+        return h
+
+    out = [None] * n
+    for i, s in enumerate(all_):
+        x = i
+        while True:
+            left, right = x >> half, x & mask
+            for r in range(1, tokenshards.ROUNDS + 1):
+                k = mix((r * 0x9E3779B97F4A7C15 + key) & u64)
+                left, right = right, left ^ mix(right ^ k) & mask
+            x = left << half | right
+            if x < n:
+                break
+        out[x] = s
+    return out
+
+
+def test_slot_order_matches_brute_force(spark, tmp_path):
+    rows = corpus(9)
+    frame(spark, rows, 1).sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    to = f"file://{tmp_path}/shards"
+    tokenshards.materialise(df, to, key=7, length=32, per_shard=40).count()
+    assert [x.tolist() for x in tokenshards.read(to)] == plain_shards([(r.doc_id, r.text) for r in df.collect()], 32, 7)
+
+
+def test_shards_of_frames_behind_a_shuffle(spark, tmp_path):
+    frame(spark, corpus(9)).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    few = df.join(df.where("doc_id < 20").select("doc_id"), "doc_id", "left_semi")
+    for k, x in enumerate((df.repartition(3), few, neardup.dedup(df), df.limit(9), df.where("doc_id > 5"))):
+        to = f"file://{tmp_path}/shards-{k}"
+        got = tokenshards.materialise(x, to, length=32, per_shard=40).collect()
+        assert sorted(r.slot for r in got) == list(range(len(got))) == list(range(sum(1 for _ in tokenshards.read(to)))) and got
 
 
 def test_byte_encoding_of_odd_white_space():
-    enc = tokenshards.encoder_of(f"{pieces.TOKENIZER_DIR}/{tokenshards.VOCABULARY}")
+    enc = tokenshards.BpeEncoder(tokenshards.ByteBpe.load(f"{pieces.TOKENIZER_DIR}/{tokenshards.VOCABULARY}"))
     texts = ["a   b", "  x", "   y 　\n z", "  lead", "tail  ", "a\r\n\r\nb", "it's\u0085 ok", "x" * 5000, " ", " "]
+    texts += ["a\x1cb \x1c c", "été à\u2003b \u2003 c\u3000", "x\u200a", "é", " — é\u0085", "a\u3000 b", " é b"]
     ids, bounds = enc.encode(next(K.blocks(pa.array(texts), 1 << 30)))
     for i, t in enumerate(texts):
         assert list(ids[bounds[i] : bounds[i + 1]]) == enc.t.encoding.encode_ordinary(t), t
