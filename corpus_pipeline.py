@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts recurring chunks of lines out of the texts; n_chars follows."""
-    return linededup.apply(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Cuts recurring chunks of lines, and recurring pairs of lines, out of the texts; n_chars follows."""
+    return linededup.apply(docs, pairs=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

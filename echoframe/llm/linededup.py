@@ -21,7 +21,7 @@ Defined results
 * Chunks of one line are never removed, nor chunks without any byte that is not white space.
 * Pairs are of lines that are not white space only; lines between the two that are belong to the pair. A pair that shares a line with its own first occurrence is not removed.
 * A null doc_id comes after all others; rows with equal doc_id and text are treated alike.
-* Other columns pass through; the names row_key and removed may not be among them (apply() renames its own away).
+* Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as K
 from .bitmaps import BITMAP_BYTES, bitmap_of, fits, in_bitmap
-from .frames import schema_of, written
+from .frames import fresh, schema_of, written
 
 #: One line pair in so many ends a chunk.
 SPREAD = 4
@@ -130,17 +130,18 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_b
 
 
 def _each_with_removed(df: DataFrame, doc_id: str, text: str, bitmap_bytes: int, pairs: bool, run: Callable, out: T.StructType) -> DataFrame:
-    """run() over the rows of df, with a column _gone of the chunks and pairs to remove (null: none)."""
-    gone = written(removals(df, doc_id, text, bitmap_bytes, pairs).withColumnsRenamed({"doc_id": "_gone_id", "row_key": "_gone_key", "removed": "_gone"}), "removals")
-    keyed = df.withColumn("_gone_hash", F.xxhash64(df[doc_id].cast("long"), F.xxhash64(df[text])))
+    """run(batches) over the rows of df, with a last column of the chunks and pairs to remove (null: none)."""
+    hash_, id_, key, list_ = fresh(df, "_gone_hash", "_gone_id", "_gone_key", "_gone")
+    gone = written(removals(df, doc_id, text, bitmap_bytes, pairs).withColumnsRenamed({"doc_id": id_, "row_key": key, "removed": list_}), "removals")
+    keyed = df.withColumn(hash_, F.xxhash64(df[doc_id].cast("long"), F.xxhash64(df[text])))
     n = gone.count()
-    shared = df.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64("_gone_id", "_gone_key").alias("h")), n)) if fits(n, bitmap_bytes) else None
+    shared = df.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64(id_, key).alias("h")), n)) if fits(n, bitmap_bytes) else None
     nothing = pa.list_(pa.field("element", pa.int64(), False))
 
     def split(b: pa.RecordBatch, hit: bool) -> pa.RecordBatch:
-        at = b.schema.get_field_index("_gone_hash")
+        at = b.num_columns - 1
         flags = in_bitmap(shared.value, np.asarray(b.column(at)).view(np.uint64)) if shared is not None else np.ones(b.num_rows, bool)
-        return b.filter(pa.array(flags == hit)).drop_columns(["_gone_hash"])
+        return b.filter(pa.array(flags == hit)).select(range(at))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,10 +149,10 @@ def _each_with_removed(df: DataFrame, doc_id: str, text: str, bitmap_bytes: int,
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (split(b, False) for b in batches)
-        yield from run(p.append_column("_gone", pa.nulls(p.num_rows, nothing)) for p in parts)
+        yield from run(p.append_column(list_, pa.nulls(p.num_rows, nothing)) for p in parts)
 
     own = keyed.mapInArrow(hits, df.schema)
-    met = own.hint("merge").join(gone, own[doc_id].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(own[text]) == gone["_gone_key"]), "left").drop("_gone_id", "_gone_key")
+    met = own.hint("merge").join(gone, own[doc_id].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(own[text]) == gone[key]), "left").drop(id_, key)
     done = met.mapInArrow(run, out)
     return done if shared is None else done.unionByName(keyed.mapInArrow(others, out))
 
@@ -189,7 +190,7 @@ def apply(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col, gone = b.column(b.schema.get_field_index(text)), b.column(b.schema.get_field_index("_gone"))
+            col, gone = b.column(b.schema.get_field_index(text)), b.column(b.num_columns - 1)
             for block in K.blocks(col):
                 c, kept = _kept(block, gone.slice(block.first, block.n), pairs)
                 new = K.strings(*_texts(block, c, kept)).cast(pa.string())

@@ -1,8 +1,10 @@
 """MinHash near-dedup with circulant permutations, exact confirmation and components.
 
-Signature: shingles fall on D places by a first permutation (sigma); a second one (pi),
+Signature: shingles fall on 2^32 places by a first permutation (sigma); a second one (pi),
 shifted circularly by k, gives coordinate k: the least pi over the document's places.
-Two permutations so give all coordinates. Bands of coordinates are bucket keys.
+Two permutations so give all coordinates; they are bijections of 32 bits that are computed, not
+tables, so that sets of millions of shingles do not fill the places. Bands of coordinates are
+bucket keys.
 
 Equal shingle sets are one class before any banding. In each bucket the class with the
 least id is the leader, and every member meets the leader only, so a bucket of n classes
@@ -21,7 +23,8 @@ Defined results
 ---------------
 * Words: A-Z lower-cased, runs of bytes other than space and \\x09-\\x0D. The set: distinct k-word shingles; fewer words: the whole sequence as one.
 * No words, or a null text: an empty set, linked with nothing. A null doc_id: linked with nothing, its component is null, and it is kept.
-* Rows with the same doc_id and text give equal result rows. Rows with one doc_id and different texts are linked each by its own text.
+* Rows with the same doc_id and text give equal result rows. Rows with one doc_id and different texts are one document in several versions: a link of one version links the document, and dedup() drops or keeps its rows together.
+* Sets are compared as sets of 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -37,15 +40,39 @@ from . import textkernel as K
 from .components import connect
 from .frames import schema_of, written
 
-PLACES = 1 << 18
 BANDS, ROWS = 50, 6
 PERCENT = 80
 #: Coordinates of the sketch, one bit each.
 SKETCH = 4096
-
-_rng = np.random.RandomState(77)
-_SIGMA = _rng.permutation(PLACES).astype(np.int32)
-_PI = np.tile(_rng.permutation(PLACES).astype(np.int32), 2)
+#: Bytes of text whose coordinates are computed together: their places stay in a core's cache.
+SET_BYTES = 1 << 19
+#: Bytes of text whose pairs are compared together.
+PAIR_BYTES = 4 << 20
+
+
+class Places:
+    """sigma and pi, as bijections of 32 bits: xor-shifts and odd multipliers."""
+
+    def __init__(self, shingles: np.ndarray, bounds: np.ndarray):
+        self.starts = bounds[:-1][np.diff(bounds) > 0]
+        at = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+        at *= np.uint32(0x85EBCA6B)
+        at ^= at >> np.uint32(13)
+        at *= np.uint32(0xC2B2AE35)
+        self.at = at
+        self.a, self.b = np.empty_like(at), np.empty_like(at)
+
+    def coordinate(self, k: int) -> np.ndarray:
+        """Coordinate k of all rows with shingles: the least pi, shifted by k, over the row's places."""
+        a, b = self.a, self.b
+        np.add(self.at, np.uint32(k), out=a)
+        np.right_shift(a, np.uint32(16), out=b)
+        np.bitwise_xor(a, b, out=a)
+        np.multiply(a, np.uint32(0x7FEB352D), out=a)
+        np.right_shift(a, np.uint32(15), out=b)
+        np.bitwise_xor(a, b, out=a)
+        np.multiply(a, np.uint32(0x846CA68B), out=a)
+        return np.minimum.reduceat(a, self.starts)
 
 
 def shingle_sets(block: K.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,29 +96,24 @@ def shingle_sets(block: K.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Bucket keys, one line for each band, of the rows with shingles."""
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((bands, len(starts)), np.uint64)
-    if not len(starts):
-        return out
-    place = _SIGMA[(shingles & np.uint64(PLACES - 1)).astype(np.int64)]
-    for band in range(bands):
-        key = np.full(len(starts), np.uint64(band + 1))
+    places = Places(shingles, bounds)
+    n = len(places.starts)
+    out = np.zeros((bands, n), np.uint64)
+    for band in range(bands if n else 0):
+        key = np.full(n, np.uint64(band + 1))
         for r in range(rows):
-            least = np.minimum.reduceat(_PI[PLACES - (band * rows + r) :][place], starts)
-            key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+            key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + places.coordinate(band * rows + r).astype(np.uint64))
         out[band] = key
     return out
 
 
 def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SKETCH bits for each row with shingles, as lines of 64-bit integers: parities of coordinates."""
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    bits = np.zeros((SKETCH, len(starts)), np.uint8)
-    if len(starts):
-        place = _SIGMA[(shingles & np.uint64(PLACES - 1)).astype(np.int64)]
-        for k in range(SKETCH):
-            bits[k] = np.minimum.reduceat(_PI[PLACES - k :][place], starts) & 1
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1)).view(np.int64) if len(starts) else np.zeros((0, SKETCH // 64), np.int64)
+    """SKETCH bits for each row with shingles, as lines of 64-bit integers: a bit of each coordinate."""
+    places = Places(shingles, bounds)
+    out = np.zeros((len(places.starts), SKETCH // 64), np.uint64)
+    for k in range(SKETCH if len(out) else 0):
+        out[:, k // 64] |= (places.coordinate(k) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
+    return out.view(np.int64)
 
 
 def sketch_limit(percent: int) -> int:
@@ -108,7 +130,7 @@ def sketched(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(1)):
+            for block in K.blocks(b.column(1), SET_BYTES):
                 s, bounds = shingle_sets(block, k)
                 lines = sketches(s, bounds)
                 full = np.flatnonzero(np.diff(bounds) > 0)
@@ -126,7 +148,7 @@ def sign(df: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(1)):
+            for block in K.blocks(b.column(1), SET_BYTES):
                 s, bounds = shingle_sets(block, k)
                 size = np.diff(bounds)
                 keys = band_keys(s, bounds, bands, rows)
@@ -157,18 +179,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             out += np.split(s, bounds[1:-1])
         return np.asarray(coded.indices), out
 
+    def alike(b: pa.RecordBatch) -> pa.RecordBatch:
+        (i, left), (j, right) = sets(b.column(2)), sets(b.column(3))
+        ok = np.zeros(len(i), bool)
+        for n, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            x, y = left[p], right[q]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) > 0:
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                ok[n] = 100 * common >= percent * (len(x) + len(y) - common)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=PAIR.names).filter(pa.array(ok))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (i, left), (j, right) = sets(b.column(2)), sets(b.column(3))
-            ok = np.zeros(len(i), bool)
-            for n, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                x, y = left[p], right[q]
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) > 0:
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    ok[n] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=PAIR.names).filter(pa.array(ok))
+            size = np.cumsum([0, *np.diff(K.bytes_of(b.column(2))[1]) + np.diff(K.bytes_of(b.column(3))[1])])
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, size[first] + PAIR_BYTES, "right")) - 1)
+                yield alike(b.slice(first, last - first))
+                first = last
 
     return both.mapInArrow(run, PAIR)
 

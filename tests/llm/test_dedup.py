@@ -74,6 +74,16 @@ def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in rows if i in kept)
 
 
+def test_long_sets_that_share_nothing_meet_nowhere():
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    n = 1_000_000
+    s = np.concatenate([np.sort(r.randint(0, 2**62, n).astype(np.uint64)) for _ in range(2)])
+    keys = neardup.band_keys(s, np.array([0, n, 2 * n]), neardup.BANDS, neardup.ROWS)
+    assert (keys[:, 0] != keys[:, 1]).all()
+
+
 def test_near_dedup_of_nothing(spark):
     assert neardup.components(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -242,6 +252,14 @@ def test_chunks_survive_a_shift():
     assert len({tuple(x) for x in a} & {tuple(x) for x in b}) >= len(a) - 2
 
 
+def test_line_dedup_takes_columns_of_its_own_names(spark):
+    rows = corpus(3)
+    df = frame(spark, rows).selectExpr("*", "1 AS _gone", "2 AS _gone_hash", "3 AS _gone_id", "'x' AS _gone_key", "4 AS removed")
+    out = linededup.apply(df)
+    assert out.schema == df.schema and {(r._gone, r._gone_hash, r._gone_id, r._gone_key, r.removed) for r in out.collect()} == {(1, 2, 3, "x", 4)}
+    assert sorted(repr((r.doc_id, sha(r.text or ""))) for r in out.collect()) == sorted(repr((r[0], r[4])) for r in plain_line_dedup(rows))
+
+
 def test_line_dedup_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert linededup.digest(df).count() == 0 and linededup.apply(df).count() == 0

@@ -7,7 +7,7 @@ import corpus_pipeline
 from echoframe.llm import decontam, linededup, neardup, pieces, quality, queries
 from tests.conftest import SF
 from tests.llm.fixtures import corpus, frame
-from tests.llm.test_dedup import plain_components, plain_line_dedup
+from tests.llm.test_dedup import plain_components, plain_pair_dedup
 from tests.llm.test_text import plain_decontam
 from tests.test_queries import compare, duck  # noqa: F401
 
@@ -55,9 +55,9 @@ def plain_pipeline(spark, rows, langs, items):
         (_, _, _, keep, _), = quality.judge(pa.array([t], pa.string()), pa.array([lang], pa.string()), enc, quality.Rules())
         if keep[0]:
             kept.append((i, t))
-    removed = {(r[0], r[4]) for r in plain_line_dedup(kept)}
+    removed = {(r[0], r[4]) for r in plain_pair_dedup(kept)}
     texts = []
-    df = linededup.apply(spark.createDataFrame(kept, "doc_id long, text string"))
+    df = linededup.apply(spark.createDataFrame(kept, "doc_id long, text string"), pairs=True)
     for r in df.collect():
         assert (r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) in removed
         texts.append((r.doc_id, r.text))
