@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import discard, written
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -24,16 +24,20 @@ def connect(edges: DataFrame) -> DataFrame:
         while True:
             to = point.select(F.col("u").alias("p"), F.col("p").alias("q"))
             step = written(point.join(to, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            discard(point)
             moved = not step.where("moved").isEmpty()
-            point = step.drop("moved")
+            point = step
             if not moved:
                 break
         if label is None:
-            label = point.select(F.col("u").alias("node"), F.col("p").alias("component"))
+            label = written(point.select(F.col("u").alias("node"), F.col("p").alias("component")), "labels")
         else:
             up = point.select(F.col("u").alias("component"), "p")
-            label = written(label.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+            old, label = label, written(label.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+            discard(old)
         left, right = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        both = written(both.join(left, "u").select("v", "pu").join(right, "v").where("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges")
+        old, both = both, written(both.join(left, "u").select("v", "pu").join(right, "v").where("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges")
+        discard(old, point)
         if both.isEmpty():
+            discard(both)
             return label

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from echoframe.plans.storage import shared_dir, written
+from echoframe.plans.storage import discard, shared_dir, written
 
-__all__ = ["fresh", "schema_of", "shared_dir", "written"]
+__all__ = ["discard", "fresh", "schema_of", "shared_dir", "written"]
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as K
 from .bitmaps import BITMAP_BYTES, bitmap_of, fits, in_bitmap
-from .frames import fresh, schema_of, written
+from .frames import discard, fresh, schema_of, written
 
 #: One line pair in so many ends a chunk.
 SPREAD = 4
@@ -116,7 +116,7 @@ def _candidates(docs: DataFrame, shared, pairs: bool) -> DataFrame:
 
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_bytes: int = BITMAP_BYTES, pairs: bool = False) -> DataFrame:
-    """(doc_id, row_key, removed): numbers of the chunks and pairs to remove, for rows that lose any. row_key: xxhash64 of the text."""
+    """(doc_id, row_key, removed): numbers of the chunks and pairs to remove, for rows that lose any, as a table. row_key: xxhash64 of the text."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
     recurring = written(_hashes(docs, pairs).groupBy("hash").count().where("count > 1").select("hash"), "lines")
     n = recurring.count()
@@ -126,13 +126,15 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_b
     gone = found.join(first, ["hash", "chunk"]).where("place != first")
     own = "place.d = first.d AND place.row_key = first.row_key AND place.number = first.number + 1"
     gone = gone.where(f"number < {PAIRS} OR NOT ({own})")
-    return gone.groupBy("doc_id", "row_key").agg(F.collect_set("number").alias("removed"))
+    out = written(gone.groupBy("doc_id", "row_key").agg(F.collect_set("number").alias("removed")), "removals")
+    discard(recurring, found, first)
+    return out
 
 
 def _each_with_removed(df: DataFrame, doc_id: str, text: str, bitmap_bytes: int, pairs: bool, run: Callable, out: T.StructType) -> DataFrame:
     """run(batches) over the rows of df, with a last column of the chunks and pairs to remove (null: none)."""
     hash_, id_, key, list_ = fresh(df, "_gone_hash", "_gone_id", "_gone_key", "_gone")
-    gone = written(removals(df, doc_id, text, bitmap_bytes, pairs).withColumnsRenamed({"doc_id": id_, "row_key": key, "removed": list_}), "removals")
+    gone = removals(df, doc_id, text, bitmap_bytes, pairs).withColumnsRenamed({"doc_id": id_, "row_key": key, "removed": list_})
     keyed = df.withColumn(hash_, F.xxhash64(df[doc_id].cast("long"), F.xxhash64(df[text])))
     n = gone.count()
     shared = df.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64(id_, key).alias("h")), n)) if fits(n, bitmap_bytes) else None

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connect
-from .frames import schema_of, written
+from .frames import discard, fresh, schema_of, written
 
 BANDS, ROWS = 50, 6
 PERCENT = 80
@@ -224,23 +224,31 @@ def components(df: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = B
     # buckets whose members are in several components
     placed = members.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     placed = written(placed, "placed")
+    discard(buckets, members)
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     inside = written(placed.join(mixed, "band", "left_semi"), "mixed")
     main = inside.groupBy("band", "c").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
     told = written(inside.join(main, "band").select("band", "doc_id", "n", "c", (F.col("c") == F.col("main")).alias("in_main")), "told")
-    finer = sketched(texts.join(told.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(reps.select("doc_id", "bands"), "doc_id")
-    told = told.join(written(finer, "sketches"), "doc_id")
-    out = written(told.where("NOT in_main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("c").alias("cx"), F.col("sketch").alias("xs"), F.col("bands").alias("xb")), "outside")
+    discard(placed, inside)
+    # sketches are kept once a document; of its bucket keys 32 bits each tell which bucket of a pair is the first
+    brief = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
+    finer = written(sketched(texts.join(told.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(reps.select("doc_id", brief), "doc_id"), "sketches")
+    full = told.join(finer, "doc_id")
+    out = full.where("NOT in_main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("c").alias("cx"), F.col("sketch").alias("xs"), F.col("bands").alias("xb"))
     differ = " + ".join(f"bit_count(sketch[{i}] ^ xs[{i}])" for i in range(SKETCH // 64))
     # a pair is met in the first bucket that it shares
-    here = "element_at(filter(zip_with(bands, xb, (p, q) -> if(p = q, p, NULL)), v -> v IS NOT NULL), 1) = band"
-    meet = written(told, "inside").join(out, "band").where(F.expr("c != cx AND (in_main OR doc_id < x)") & fits & F.expr(f"{differ} <= {sketch_limit(percent)} AND {here}"))
+    here = "element_at(filter(zip_with(bands, xb, (p, q) -> if(p = q, p, NULL)), v -> v IS NOT NULL), 1) = cast(shiftright(band, 32) AS int)"
+    meet = full.join(out, "band").where(F.expr("c != cx AND (in_main OR doc_id < x)") & fits & F.expr(f"{differ} <= {sketch_limit(percent)} AND {here}"))
     meet = meet.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    more = written(confirm(meet.join(pairs, ["a", "b"], "left_anti"), texts, k, percent), "links")
+    meet = written(meet.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(told, finer)
+    more = written(confirm(meet, texts, k, percent), "links")
     if not more.isEmpty():
-        linked = connect(links.unionByName(more))
+        old, linked = linked, connect(links.unionByName(more))
+        discard(old)
 
     final = written(classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")), "final")
+    discard(classes, pairs, texts, links, meet, more, linked)
     own = signed.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"], "left")
     alone = F.col("n_shingles") == 0
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(alone, F.col("doc_id")).otherwise(F.col("component"))
@@ -252,8 +260,9 @@ def dedup(df: DataFrame, k: int = 5, percent: int = PERCENT, doc_id: str = "doc_
 
     Rows with a null doc_id stay. Equal rows of the least doc_id all stay.
     """
-    gone = components(df, k, percent, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[doc_id].cast("long") == gone["_gone"], "left_anti")
+    (name,) = fresh(df, "_gone")
+    gone = components(df, k, percent, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df[doc_id].cast("long") == gone[name], "left_anti")
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

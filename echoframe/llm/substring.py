@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .bitmaps import BITMAP_BYTES, bitmap_of, fits, in_bitmap
-from .frames import schema_of, written
+from .frames import discard, schema_of, written
 
 WINDOW = 13
 SEED = 6
@@ -144,7 +144,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row_key", F.hash("text").alias("k2"), F.octet_length("text").alias("size"))
     key = ["row_key", "k2", "size"]
     first = written(keyed.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    return written(keyed.join(first, key).where("doc_id > first").select("doc_id", "row_key").distinct(), "copies")
+    out = written(keyed.join(first, key).where("doc_id > first").select("doc_id", "row_key").distinct(), "copies")
+    discard(first)
+    return out
 
 
 def _flag(column: str) -> Callable:
@@ -364,7 +366,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
-    source, is_later = marked_later(docs, later_copies(docs), copies_bytes)
+    copies = later_copies(docs)
+    source, is_later = marked_later(docs, copies, copies_bytes)
     known = source.where("doc_id IS NOT NULL")
     recurring = written(seeds_of(known, False, is_later).groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     n = recurring.count()
@@ -412,6 +415,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bitmap_byte
     of_passages = passages.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(0).cast("long").alias("row_key"), F.col("words").alias("text"), F.lit(None).cast("array<bigint>").alias("firsts"))
     dealt = of_passages.unionByName(streamed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     spans = written(locate(dealt).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")), "spans")
+    discard(copies, recurring, found, routes, needed, passages, salts)
     cut = able.join(spans, ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "lo", "hi")
     done = staged.where("text IS NULL")
     if with_text:
