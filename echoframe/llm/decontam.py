@@ -16,6 +16,7 @@ Defined results
 * Words: A-Z lower-cased, runs of digits, letters and non-ASCII bytes; a null text has none.
 * Windows: 8 consecutive item words; an item of fewer words, but not none, is one window; an item without words, or null, matches nothing.
 * Items are told apart by item_id as a string (null: "null"); rows with the same id are one item.
+* The longest match is sought at the places of window matches; of equally long ones the first in the document counts, and of items that share it the least id (as a string), however the test set is cut into blocks.
 * Documents without words are not contaminated. Repeated rows are judged alike. An empty test set contaminates nothing.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .frames import schema_of
+from .frames import fresh, schema_of
 
 WINDOW = 8
 #: Bytes of item texts in one broadcast block.
@@ -54,6 +55,19 @@ class TestSet:
     number: np.ndarray  # their numbers
     pool: np.ndarray  # bytes of the vocabulary, by number
     pool_at: np.ndarray
+    _sorted: np.ndarray | None = None
+
+    def sorted_suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the items' suffixes in order of their words, the words, and how many are left from each place. Sorted once a worker."""
+        if self._sorted is None:
+            ends = np.flatnonzero(self.left == 1)
+            text = np.insert(self.words, ends + 1, 0)
+            place = np.arange(len(self.words)) + np.searchsorted(ends, np.arange(len(self.words)))
+            back = np.zeros(len(text), np.int64)
+            back[place] = np.arange(len(self.words))
+            sa = SuffixArray(text, int(self.left.max(initial=1)), len(self.hashes))
+            self._sorted = back[sa.at]
+        return self._sorted, self.words, self.left
 
     @classmethod
     def of(cls, items: list[tuple[str, str | None]], window: int = WINDOW) -> TestSet:
@@ -79,6 +93,57 @@ class TestSet:
         )
 
 
+def longest_prefixes(test: TestSet, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of text, the longest match with any test suffix, and that suffix; of equal ones, an item of the least number.
+
+    Positions are bisected into the sorted test suffixes, all at once; how many words two of
+    them have in common is itself bisected, by hashes of spans, so long repetitions cost no more than others.
+    The longest match is that of a neighbour.
+    """
+    order, words, left = test.sorted_suffixes()
+    of_text, of_words = (K.SpanHashes(K.mix(x.astype(np.uint64))) for x in (text, words))
+    zero = np.flatnonzero(text == 0)
+    room = zero[np.searchsorted(zero, at)] - at  # words of the test vocabulary from each position on
+
+    def common(p: np.ndarray, most: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(at), np.int64), np.minimum(most, np.minimum(room, left[p]))
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = of_text(at, at + mid) == of_words(p, p + mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def bound(depth: np.ndarray, beyond: bool) -> np.ndarray:
+        """The first suffix whose first `depth` words are not below the position's, or are above them."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+        while (go := low < high).any():
+            mid = (low + high) >> 1
+            p = order[np.minimum(mid, len(order) - 1)]
+            n = common(p, depth)
+            have = np.where(n < left[p], words[np.minimum(p + n, len(words) - 1)], 0)
+            less = go & np.where(n == depth, beyond, have < text[at + n])
+            low, high = np.where(less, mid + 1, low), np.where(go & ~less, mid, high)
+        return low
+
+    near = bound(room, False)
+    depth = np.maximum(common(order[np.maximum(near - 1, 0)], room), common(order[np.minimum(near, len(order) - 1)], room))
+    low, high = bound(depth, False), bound(depth, True)
+    least = np.full(len(at), -1, np.int64)
+    # of the suffixes in the range, one of the least item: a table of minima over ranges of powers of two
+    item = test.item[order]
+    key = item * len(order) + np.arange(len(order))
+    levels = [key]
+    while 2 << (len(levels) - 1) <= len(key):
+        step = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+    span = np.maximum(high - low, 1)
+    level = np.floor(np.log2(span)).astype(np.int64)
+    for n, table in enumerate(levels):
+        mine = np.flatnonzero((level == n) & (high > low))
+        least[mine] = np.minimum(table[low[mine]], table[high[mine] - (1 << n)]) % len(order)
+    return depth, order[least]
+
+
 def number_words(test: TestSet, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Each word's number in the test vocabulary, or 0; equal bytes are confirmed."""
     if not len(test.hashes) or not len(starts):
@@ -209,38 +274,46 @@ def locate(block: K.Block, test: TestSet, window: int = WINDOW) -> Found:
     place = np.arange(len(rows)) + rows
     text = np.zeros(len(rows) + block.n + 1, np.int64)
     text[place] = number_words(test, buf, starts, ends)
-    sa = SuffixArray(text, int(test.left.max(initial=1)), len(test.hashes))
-    low, high, best, best_at = sa.search(test.words, test.left, test.window)
+    # deep enough for windows; longer matches are found at their places
+    sa = SuffixArray(text, window, len(test.hashes))
+    low, high, _, _ = sa.search(test.words, np.minimum(test.left, window), test.window)
     row_of = np.zeros(len(text), np.int64)
     row_of[place] = rows
     word_of = np.zeros(len(text), np.int64)
     word_of[place] = np.arange(len(rows))
     found = np.flatnonzero(high > low)
-    count = high[found] - low[found]
-    spots = K.gather(sa.at, low[found], count)
-    which = np.repeat(found, count)
-    hit = K.cover(len(text), spots, spots + test.window[which])[place]
-    pairs = np.unique(row_of[spots] * max(1, len(test.ids)) + test.item[which])
+    # equal windows have equal ranges: each distinct one is enumerated once, whatever the number of test suffixes
+    range_, kind = np.unique(np.stack([low[found], high[found]]), axis=1, return_inverse=True)
+    kind = kind.reshape(-1)
+    size = np.zeros(range_.shape[1], np.int64)
+    size[kind] = test.window[found]
+    spots, which = sa.at[K.gather(np.arange(len(sa.at)), range_[0], range_[1] - range_[0])], np.repeat(np.arange(len(size)), range_[1] - range_[0])
+    hit = K.cover(len(text), spots, spots + size[which])[place]
+    # (row, window), then (row, item)
+    n_items = max(1, len(test.ids))
+    by_row = np.unique(row_of[spots] * max(1, len(size)) + which)
+    own = np.unique(kind * n_items + test.item[found])
+    first = np.searchsorted(own, np.arange(len(size) + 1) * n_items)
+    row, window_ = by_row // max(1, len(size)), by_row % max(1, len(size))
+    many = first[window_ + 1] - first[window_]
+    pairs = np.unique(np.repeat(row, many) * n_items + own[K.gather(np.arange(len(own)), first[window_], many)] % n_items)
     full = np.zeros(block.n, bool)
-    full[row_of[spots[test.window[which] == window]]] = True
-    # the longest match of each row, among the matches that were located, extended word by word
+    full[row_of[spots[size[which] == window]]] = True
+    # the longest match of each row, from the neighbours of its positions among the sorted test suffixes
     longest, l_item, l_word = (np.zeros(block.n, np.int64) for _ in range(3))
-    if len(spots):
-        more, k = np.arange(len(spots)), test.window[which].copy()
-        while len(more):
-            more = more[test.left[which[more]] > k[more]]
-            more = more[sa.text[spots[more] + k[more]] == test.words[which[more] + k[more]]]
-            k[more] += 1
-        order = np.lexsort((spots, which, -k, row_of[spots]))
-        r = row_of[spots][order]
+    at = np.unique(spots)
+    if len(at):
+        k, suffix = longest_prefixes(test, sa.text, at)
+        order = np.lexsort((at, -k, row_of[at]))
+        r = row_of[at][order]
         first = order[np.concatenate([[True], r[1:] != r[:-1]])]
-        at = row_of[spots[first]]
-        longest[at], l_item[at], l_word[at] = k[first], test.item[which[first]], word_of[spots[first]] - bounds[at]
+        rows_ = row_of[at[first]]
+        longest[rows_], l_item[rows_], l_word[rows_] = k[first], test.item[suffix[first]], word_of[at[first]] - bounds[rows_]
     return Found(np.diff(bounds), hit, bounds, pairs // max(1, len(test.ids)), pairs % max(1, len(test.ids)), longest, l_item, l_word, full)
 
 
 OUT = schema_of("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long")
-PART = schema_of("doc_id long, _row long, n_words long, spans long[], items string[], longest_match long, longest_item string, longest_at long")
+PART = schema_of("doc_id long, _row long, n_words long, spans long[], items string[], longest_match long, longest_item string, longest_at long, full boolean")
 
 
 def test_blocks(bench: DataFrame, item_id: str, text: str, size: int) -> list[list[tuple[str, str | None]]]:
@@ -273,14 +346,14 @@ def judge(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "
     parts = test_blocks(bench, item_id, item_text, test_bytes)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if len(parts) > 1:
-        return _merged(docs, [spark.sparkContext.broadcast(TestSet.of(p, window)) for p in parts], min_items)
+        return _merged(docs, [spark.sparkContext.broadcast(TestSet.of(p, window)) for p in parts], min_items, window)
     shared = spark.sparkContext.broadcast(TestSet.of(parts[0], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value
         for b in batches:
             for block in K.blocks(b.column(1), SHARD_BYTES):
-                f = locate(block, test)
+                f = locate(block, test, window)
                 items = _items_by_row(f, test, block.n)
                 none = f.longest == 0
                 yield pa.RecordBatch.from_arrays([
@@ -291,7 +364,7 @@ def judge(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "
     return docs.mapInArrow(run, OUT)
 
 
-def _merged(docs: DataFrame, shared: list, min_items: int) -> DataFrame:
+def _merged(docs: DataFrame, shared: list, min_items: int, window: int, with_key: bool = False) -> DataFrame:
     """judge() for a test set of several blocks: one scan each; the rows with hits meet by row."""
 
     def scan(one):
@@ -299,14 +372,14 @@ def _merged(docs: DataFrame, shared: list, min_items: int) -> DataFrame:
             test = one.value
             for b in batches:
                 for block in K.blocks(b.column(1), SHARD_BYTES):
-                    f = locate(block, test)
+                    f = locate(block, test, window)
                     items = _items_by_row(f, test, block.n)
                     hit = np.split(f.hit, f.bounds[1:-1])
                     some = [k for k in range(block.n) if items[k]]
                     part = b.slice(block.first, block.n).take(pa.array(some, pa.int64()))
                     yield pa.RecordBatch.from_arrays([
                         part.column(0), part.column(2), pa.array(f.n_words[some]), pa.array([np.flatnonzero(hit[k]).tolist() for k in some], pa.list_(pa.field("element", pa.int64(), False))), pa.array([items[k] for k in some], pa.list_(pa.field("element", pa.string(), False))),
-                        pa.array(f.longest[some]), pa.array([test.ids[f.longest_item[k]] for k in some], pa.string()), pa.array(f.longest_word[some]),
+                        pa.array(f.longest[some]), pa.array([test.ids[f.longest_item[k]] for k in some], pa.string()), pa.array(f.longest_word[some]), pa.array(f.full[some]),
                     ], names=PART.names)
 
         return run
@@ -316,8 +389,9 @@ def _merged(docs: DataFrame, shared: list, min_items: int) -> DataFrame:
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
-    best = F.max_by(F.struct("longest_match", "longest_item", "longest_at"), F.struct("longest_match", "longest_item"))
-    by_row = hits.groupBy("doc_id", "_row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
+    # as within one block: the longest, then the first place in the document, then the least item
+    best = F.min_by(F.struct("longest_match", "longest_item", "longest_at"), F.struct((-F.col("longest_match")).alias("n"), "longest_at", "longest_item"))
+    by_row = hits.groupBy("doc_id", "_row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"), F.bool_or("full").alias("full"))
     by_row = by_row.withColumnsRenamed({"doc_id": "_d", "_row": "_r"})
     empty = schema_of("doc_id long, _row long, n_words long")
 
@@ -335,30 +409,37 @@ def _merged(docs: DataFrame, shared: list, min_items: int) -> DataFrame:
     return out.select(
         "doc_id", "n_words", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"),
         F.coalesce("b.longest_match", F.lit(0).cast("long")).alias("longest_match"), F.col("b.longest_item").alias("longest_item"), F.col("b.longest_at").alias("longest_at"),
+        *([F.col("_row"), F.coalesce("full", F.lit(False)).alias("full")] if with_key else []),
     )
 
 
 def reject(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS, test_bytes: int = TEST_BYTES, any_window: bool = False) -> DataFrame:
-    """The rows of df that are not contaminated, with all their columns. any_window: a window of full length of a single item contaminates, too. A test set of several blocks is scanned for in turn, and items add up by row."""
+    """The rows of df that are not contaminated, with all their columns. any_window: a window of full length of a single item contaminates, too.
+
+    A test set of one block is broadcast and no row leaves its task. One of several blocks is judged by
+    judge(), a scan for each block, and the rejected rows are joined away by doc_id and text.
+    """
     spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(TestSet.of(p, window)) for p in test_blocks(bench, item_id, item_text, test_bytes)]
+    parts = test_blocks(bench, item_id, item_text, test_bytes)
+    if len(parts) > 1:
+        key, d, r = fresh(df, "_text_key", "_gone_id", "_gone_key")
+        docs = df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")).distinct()
+        found = _merged(docs, [spark.sparkContext.broadcast(TestSet.of(p, window)) for p in parts], min_items, window, with_key=True)
+        bad = F.col("contaminated") | F.col("full") if any_window else F.col("contaminated")
+        gone = found.where(bad).select(F.col("_row").alias(r)).distinct()
+        return df.withColumn(key, F.xxhash64(df[text])).join(gone, F.col(key) == F.col(r), "left_anti").drop(key)
+    shared = spark.sparkContext.broadcast(TestSet.of(parts[0], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in K.blocks(b.column(b.schema.get_field_index(text)), SHARD_BYTES):
-                items: list[set[str]] = [set() for _ in range(block.n)]
-                full = np.zeros(block.n, bool)
-                for one in shared:
-                    f = locate(block, one.value, window)
-                    full |= f.full
-                    for have, more in zip(items, _items_by_row(f, one.value, block.n), strict=True):
-                        have.update(more)
-                clean = np.array([len(x) < min_items for x in items], bool)
-                yield b.slice(block.first, block.n).filter(pa.array(clean & ~full if any_window else clean))
+                f = locate(block, shared.value, window)
+                clean = np.bincount(f.row, minlength=block.n) < min_items
+                yield b.slice(block.first, block.n).filter(pa.array(clean & ~f.full if any_window else clean))
 
     return df.mapInArrow(run, df.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_item", "longest_at")

@@ -370,6 +370,14 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", model: str
     return df.mapInArrow(run, schema)
 
 
+def same_rows(block: K.Block, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows of the block equal data[at[i]:at[i+1]]."""
+    same = np.diff(at) == np.diff(block.bounds)
+    if same.all():
+        return block.count(data != block.buf) == 0
+    return np.array([x and bool((data[s:e] == block.buf[p:q]).all()) for x, s, e, p, q in zip(same.tolist(), at[:-1].tolist(), at[1:].tolist(), block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True)], bool)
+
+
 DIGEST = schema_of("doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
 
 
@@ -388,11 +396,7 @@ def encode_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             for block in K.blocks(b.column(1), TEXT_BYTES):
                 ids, bounds = enc.encode(block)
                 back, at = enc.decode(ids, bounds)
-                same = np.diff(at) == np.diff(block.bounds)
-                if same.all():
-                    same = block.count(back != block.buf) == 0
-                else:  # lengths differ somewhere: row by row
-                    same = np.array([x and bool((back[at[k] : at[k + 1]] == block.buf[block.bounds[k] : block.bounds[k + 1]]).all()) for k, x in enumerate(same.tolist())])
+                same = same_rows(block, back, at)
                 raw = ids.astype("<i4")
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(block.first, block.n), pa.array(block.count(K.LEADS[block.buf])), pa.array(np.diff(bounds)), pa.array(K.per_row(is_byte[ids], bounds)),

@@ -27,14 +27,21 @@ _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM_WORDS}') AS w FROM documents),
-b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM_WORDS}') AS w FROM benchmark),
+b AS (SELECT row_number() OVER () AS k, coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM_WORDS}') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), 8) AS n, list_slice(w, p, p + least(len(w), 8) - 1) AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
 dw AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, p, dw.n AS n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+i AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY doc_id),
+spot AS (SELECT DISTINCT doc_id, p FROM m),
+dx AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM spot)),
+bx AS (SELECT k, item, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM b),
+run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, k, p - q ORDER BY p) AS island FROM dx JOIN bx USING (word)),
+longest AS (SELECT doc_id, item, p, max(p) OVER (PARTITION BY doc_id, k, p - q, island) - p + 1 AS n FROM run),
+best AS (SELECT * FROM longest SEMI JOIN spot USING (doc_id, p) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, item) = 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated,
+    coalesce(n, 0)::BIGINT AS longest_match, best.item AS longest_item, best.p - 1 AS longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORDS}') AS w FROM documents),

@@ -49,13 +49,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class SpanHashes:
+    """span_hash of many spans of the same values."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        _grow(n + 1)
+        self.acc = np.zeros(n + 1, _U)
+        np.cumsum(values * _powers[:n], out=self.acc[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.acc[ends] - self.acc[starts]) * _inverses[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of values[start:end] for every span; equal spans hash alike wherever they lie."""
-    n = len(values)
-    _grow(n + 1)
-    acc = np.zeros(n + 1, _U)
-    np.cumsum(values * _powers[:n], out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * _inverses[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return SpanHashes(values)(starts, ends)
 
 
 def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

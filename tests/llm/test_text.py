@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import html
 import math
@@ -129,27 +130,102 @@ def test_base_measures_match_brute_force(spark):
         assert mine and (repeat is None or (mine[0][5] == repeat and mine[0][6] == (n < 50 or 100 * repeat > 50 * n)))
 
 
+@functools.cache
+def vocabularies():
+    return pieces.Encoder(pieces.PieceTable.load(MODEL)), tokenshards.ByteBpe.load(f"{pieces.TOKENIZER_DIR}/{quality.BYTE_VOCABULARY}").encoding
+
+
+def plain_fertility(t):
+    """The measures from Python strings; ids of the byte-level vocabulary from the library, one whole text at a time."""
+    from collections import Counter
+
+    enc, bpe = vocabularies()
+    ids = enc.encode(next(K.blocks(pa.array([t]))))[0].tolist()
+    in_bytes = set(enc.t.byte_ids.tolist()) - {enc.t.byte_ids[10]}
+    falls = sum(i in in_bytes for i in ids)
+    raw = bpe.encode_ordinary(t)
+    entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values())
+    return len(ids), len(t) / len(ids), falls / len(ids), len(raw), len(t) / len(raw), entropy
+
+
+def plain_kept(t, lang, failed):
+    n, cpt, share, m, bpt, entropy = plain_fertility(t)
+    latin = 2 * sum(ord(c) < 0x240 for c in t) >= len(t)
+    band = quality.DEFAULT_BANDS[lang if lang in quality.DEFAULT_BANDS else "latin" if latin else "other"]
+    ok = band.chars_per_token[0] <= cpt <= band.chars_per_token[1] and band.chars_per_byte_token[0] <= bpt <= band.chars_per_byte_token[1] and share <= band.byte_share
+    if band.curve:
+        x = min(max(math.log2(m), band.span[0]), band.span[1])
+        ok = ok and band.entropy[0] <= entropy - (band.curve[0] + band.curve[1] * x + band.curve[2] * x * x) <= band.entropy[1]
+    return ok and not failed
+
+
+def test_fertility_matches_brute_force(spark):
+    rows = [(i, t) for i, t in corpus(5) if t] + [(970, "ᚠᛇᚻ " * 60), (971, "één “quoted” words, and 12 numbers\n\n  twice " * 9), (972, "日本語のテキスト。" * 30)]
+    df = frame(spark, rows)
+    langs = sorted(((r.doc_id, r.text, r.lang) for r in df.collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_tokens, r.chars_per_token, r.byte_share, r.n_byte_tokens, r.chars_per_byte_token, r.token_entropy, r.kept, r.base_failed) for r in quality.measure(df).collect()), key=repr)
+    want = sorted(((i, *plain_fertility(t)) for i, t in rows), key=repr)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[:7] == pytest.approx(w, abs=1e-9)
+    failed = {g[0]: g[8] for g in got}
+    assert {(i, plain_kept(t, lang, failed[i])) for i, t, lang in langs} == {(g[0], g[7]) for g in got}
+
+
+def test_pieces_are_near_those_of_the_library():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    enc = pieces.Encoder(pieces.PieceTable.load(MODEL))
+    texts = ["The quick brown fox jumps over the lazy dog and internationalization", "electronics manufacturing supply", "Nous avons mangé des pommes; l'été était très chaud.", "Die Donaudampfschifffahrtsgesellschaft betreibt viele Schiffe."] + [t for _, t in corpus(5) if t]
+    mine = len(enc.encode(next(K.blocks(pa.array(texts), 1 << 30)))[0])
+    assert abs(mine / sum(len(own.encode(t)) for t in texts) - 1) < 0.05
+    assert len(enc.encode(next(K.blocks(pa.array(texts[1:2]))))[0]) == 4
+
+
+def test_long_units_count_fallbacks_before_scores():
+    t = pieces.PieceTable.build([(b"a", -1.0, 0), (b"b", -1.5, 1), (b"ab", -2.4, 2)], {c: 10 + c for c in range(256)}, 300)
+    unit = "é".encode() * 300_000 + b"abab"
+    assert t._solve_one(unit)[-2:].tolist() == [2, 2]
+
+
+def test_a_damaged_row_is_no_round_trip():
+    class Broken(pieces.Encoder):
+        def decode(self, ids, bounds):
+            data, at = super().decode(ids, bounds)
+            data = data.copy()
+            data[0] ^= 1
+            return np.delete(data, len(data) - 1), np.append(at[:-1], at[-1] - 1)
+
+    enc = Broken(pieces.PieceTable.load(MODEL))
+    block = next(K.blocks(pa.array(["one two", "three", "four"]), 1 << 30))
+    assert pieces.same_rows(block, *enc.decode(*enc.encode(block))).tolist() == [False, True, False]
+
+
 def test_bands_reject_and_columns_stay(spark):
     rows = [(1, "The quick brown fox jumps over the lazy dog near the old mill. " * 2 + " ".join(f"Word{i} and thing{i}" for i in range(40))), (2, "aaa bbb"), (3, None), (4, "### *** " * 60)]
     df = frame(spark, rows)
     wide = quality.Rules(bands={k: quality.Band((0.1, 9.0), 1.0) for k in ("en", "fr", "latin", "other")})
     out = quality.reject(df, wide)
     assert out.schema == df.schema and [r.doc_id for r in out.collect()] == [1]
-    tight = quality.Rules(bands={k: quality.Band((0.1, 9.0), 1.0, (1e3, 0.0, 0.0), (0.0, 1.0)) for k in ("en", "fr", "latin", "other")})
+    tight = quality.Rules(bands={k: quality.Band((0.1, 9.0), 1.0, (0.0, 9.0), (1e3, 0.0, 0.0), (0.0, 1.0)) for k in ("en", "fr", "latin", "other")})
     assert quality.reject(df, tight).count() == 0
     shares = {x.doc_id: x for x in quality.measure(frame(spark, [(1, "ᚠᛇᚻ " * 60), (2, "plain words here " * 30)])).collect()}
     assert shares[1].byte_share > 0.5 and shares[2].byte_share == 0
     bands = quality.fit_bands(df.withColumns({"good": F.lit(1), "lang": F.lit("en")}), "good")
+    one = lambda x: np.array([x])
     m = quality.measure(df).where("doc_id = 1").first()
-    assert bands["en"].holds(*(np.array([x]) for x in (m.chars_per_token, m.byte_share, m.token_entropy, m.n_tokens)))[0]
+    assert bands["en"].holds(quality.Fertility(*map(one, (m.n_tokens, m.chars_per_token, m.byte_share, m.n_byte_tokens, m.chars_per_byte_token, m.token_entropy))))[0]
 
 
-def test_clean_labelled_documents_are_kept(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    judged = quality.measure(docs).join(docs.select("doc_id", "quality"), "doc_id").where("NOT base_failed")
-    clean, junk = judged.where("quality = 1"), judged.where("quality = 0")
-    assert clean.where("kept").count() == clean.count()
-    assert junk.where("NOT kept").count() >= 0.3 * junk.count()
+@pytest.mark.parametrize("lang", ["lang", None])
+def test_held_out_labels(spark, lang):
+    """The bands were fitted on even doc_ids; judged here are the odd ones, by language and by script alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("doc_id % 2 = 1")
+    judged = quality.measure(docs, lang=lang).join(docs.select("doc_id", "quality"), "doc_id").where("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.002 * n[1, True]
+    assert n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0))
 
 
 # -- decontamination ----------------------------------------------------------------------------------
@@ -173,6 +249,42 @@ def plain_decontam(rows, items, window=8):
     return sorted(out, key=repr)
 
 
+def plain_longest(rows, items, window=8):
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    item_words = [("null" if i is None else str(i), words(t, True, pattern)) for i, t in items]
+    starts = {}
+    for i, w in item_words:
+        for k in [0] if 0 < len(w) < window else range(len(w) - window + 1):
+            starts.setdefault(tuple(w[k : k + window]), 0)
+    suffixes = {}
+    for i, w in item_words:
+        for k in range(len(w)):
+            suffixes.setdefault(w[k], []).append((i, w[k:]))
+    sizes, out = {len(k) for k in starts}, []
+    for i, t in rows:
+        w, best = words(t, True, pattern), (0, None, None)
+        for k in range(len(w)):
+            if not any(tuple(w[k : k + n]) in starts for n in sizes):
+                continue
+            for item, s in suffixes.get(w[k], []):
+                n = next((j for j, (a, b) in enumerate(zip(w[k:], s, strict=False)) if a != b), min(len(w) - k, len(s)))
+                if (-n, k, item) < (-best[0], best[2] if best[0] else 0, best[1] or "") or not best[0]:
+                    best = n, item, k
+        out.append((i, *best))
+    return sorted(out, key=repr)
+
+
+def test_repeated_words_are_searched_in_time_of_their_number():
+    import time
+
+    test = decontam.TestSet.of([("1", "ba " * 2000), ("2", "ba " * 700 + "ke")])
+    block = next(K.blocks(pa.array(["ba " * 20_000, "ba " * 700 + "ke"]), 1 << 30))
+    began = time.process_time()
+    f = decontam.locate(block, test)
+    assert time.process_time() - began < 20
+    assert f.hit.all() and f.longest.tolist() == [2000, 701] and f.longest_item.tolist() == [0, 1] and f.longest_word.tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("size", [1 << 20, 1])
 def test_decontamination_matches_brute_force(spark, size):
     rows = corpus(6)
@@ -184,6 +296,7 @@ def test_decontamination_matches_brute_force(spark, size):
     want = plain_decontam(rows, items)
     assert rows_of(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
     assert got.where("doc_id = 970").first().longest_match >= 17
+    assert rows_of(got.select("doc_id", "longest_match", "longest_item", "longest_at")) == plain_longest(rows, items)
     df = frame(spark, rows)
     kept = decontam.reject(df, bench, test_bytes=size)
     assert kept.schema == df.schema and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(w[0]) for w in want if not w[5])
