@@ -8,14 +8,12 @@ near_document_pairs, document_summary_all and health_by_source_all take the docu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.functions import health, text, winnow
-from echoframe.functions.bpe import pre_tokenize
 from echoframe.functions.normalize import KEYWORDS, TOKEN, normalize_code, prepare, rename_identifiers, tokens
 from echoframe.operators.exact import exact_groups, exact_members, exact_pairs, unmatched
 from echoframe.operators.fingerprints import similar_pairs
@@ -92,7 +90,7 @@ _ITEMS = f"""WITH u AS (SELECT item_id AS idx, 'item' || item_id AS name, 'file'
   pairs AS (SELECT x.idx1, a.name AS name1, a.filename AS file1, x.idx2, b.name AS name2, b.filename AS file2, x.similarity FROM (SELECT * FROM e UNION ALL SELECT * FROM n WHERE similarity >= {NEAR_THRESHOLD}) x JOIN u a ON a.idx = x.idx1 JOIN u b ON b.idx = x.idx2)"""
 _RANKED = _ITEMS + " SELECT row_number() OVER (ORDER BY similarity DESC, idx1, idx2) AS rank, idx1, name1, file1, idx2, name2, file2, round(similarity, 6) AS similarity FROM pairs"
 _COS = "(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 * 100"
-_SIMS = f"s AS (SELECT a.vec_id AS idx1, b.vec_id AS idx2, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+_SIMS = f"s AS MATERIALIZED (SELECT a.vec_id AS idx1, b.vec_id AS idx2, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
 _GRADE_PLUS = "CASE WHEN {s} >= 95 THEN 'A+' WHEN {s} >= 90 THEN 'A' WHEN {s} >= 82 THEN 'B+' WHEN {s} >= 75 THEN 'B' WHEN {s} >= 65 THEN 'C+' WHEN {s} >= 60 THEN 'C' WHEN {s} >= 45 THEN 'D+' WHEN {s} >= 40 THEN 'D' ELSE 'F' END"
 
@@ -296,14 +294,3 @@ def neighbour_cosine(spark, sf_dir):
     v = vectors(spark, sf_dir)
     pair = v.join(v.select((F.col("idx") - 1).alias("idx"), F.col("vector").alias("next")), "idx")
     return pair.select("idx", F.round(cosine("vector", "next"), 4).alias("similarity"))
-
-
-@query()
-def pretokenized_items(spark, sf_dir):
-    """Pieces of each benchmark item before byte-pair merging."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"item_id": pdf.item_id, "pieces": [pre_tokenize(t or "") for t in pdf.text]})
-
-    return table(spark, sf_dir, "benchmark").mapInPandas(run, "item_id long, pieces array<string>")
