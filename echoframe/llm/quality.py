@@ -179,7 +179,8 @@ def band_names(block: K.Block, lang: pa.Array | None, rules: Rules) -> np.ndarra
 def judge(text: pa.Array, lang: pa.Array | None, enc: Encoders, rules: Rules) -> Iterator[tuple[K.Block, Measures, np.ndarray, np.ndarray, Fertility]]:
     """For each block of rows: measures, base failures, verdicts, token measures."""
     for block in K.blocks(text, pieces.TEXT_BYTES):
-        m = base_measures(block)
+        # tokens are counted over larger blocks than words are hashed in
+        m = Measures(*map(np.concatenate, zip(*((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in map(base_measures, K.blocks(text.slice(block.first, block.n)))), strict=True)))
         failed = (m.n_words < rules.min_words) | (100 * m.n_repeat_words > rules.max_repeat * m.n_words)
         t = token_measures(block, enc)
         which = band_names(block, lang, rules)

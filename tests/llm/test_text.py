@@ -106,6 +106,18 @@ def test_round_trip_over_columns(spark):
     assert pieces.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_byte_hashes_do_not_depend_on_blocks():
+    r = np.random.RandomState(4)
+    buf = r.randint(0, 256, 3 * K.BLOCK_BYTES).astype(np.uint8)
+    starts = np.sort(r.randint(0, len(buf) - 50, 5000))
+    ends = np.maximum.accumulate(starts + r.randint(0, 50, 5000))
+    ends[-1] = len(buf)
+    whole = K.span_hash(K._BYTE_CODE[buf], starts, ends)
+    assert (K.byte_hash(buf, starts, ends) == whole).all()
+    by = r.permutation(5000)
+    assert (K.byte_hash(buf, starts[by], ends[by]) == whole[by]).all()
+
+
 # -- quality ------------------------------------------------------------------------------------------
 def plain_quality(t):
     t = t or ""
