@@ -7,19 +7,24 @@ punctuation at every place, same check digit rule. Such a map is one to one, so
 entities get equal surrogates in the whole corpus and different ones stay different, without
 any table.
 
-Names of persons are found by an honorific or a listed given name. A listed given name
-becomes another one of the same gender and script (a keyed permutation of the list);
-other names become built names of the same script, and gender where known. Built names can
-collide: all distinct names of the corpus are counted, the built names are made long enough
-for few collisions, and a table of distinct names keeps the surrogates of colliding ones
-apart. Surname and given name are replaced each for itself, so a later "Mr Smith" still
-is the same person as "John Smith".
+Names of persons are found by an honorific or a listed given name; every later or earlier
+mention of a found name in the same text, whatever its case, is the same name. A listed given
+name becomes another one of the same gender and script (a keyed permutation of the list).
+Other Latin, Cyrillic and Greek names become built names of the same script: of the title's
+gender for a given name, of the gender that a Cyrillic or Greek surname shows by its ending.
+Names of other scripts are permuted within their own format. Built names can collide: all
+distinct names of the corpus are counted, the built names are made long enough for few
+collisions, and a table of the names that still collide, or that would become a listed or real
+name of the corpus, keeps them apart. Surname and given name are replaced each for itself, so
+"Mr Smith" is the same person as "John Smith".
 
 Defined results
 ---------------
 * A null text stays null with no entities; texts without entities are unchanged, byte for byte.
 * Overlapping entities: the one that starts first, then the one that comes first in the list of patterns.
-* Repeated rows give equal rows; other columns pass through `replace()`.
+* Case tells no entities apart: "Smith" and "SMITH", "Jo@x.org" and "jo@x.org" get the same surrogate, each in its own case.
+* A name that a text uses as given name and as surname takes the role of its first place there.
+* Repeated rows give equal rows; other columns pass through `replace()`, and the new column, the last, gets underscores behind a name that is taken.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import schema_of, written
+from .frames import fresh, schema_of, written
 
 # -- detection ------------------------------------------------------------------------------------
 _SEP = r"[^\w\n(+]{1,6}"
@@ -62,7 +67,9 @@ GIVEN_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
 }
 HONORIFICS: dict[str, str] = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _GENDER = {n: (g, s) for (s, g), names in GIVEN_NAMES.items() for n in names}
-_NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_LISTED = {n.casefold(): (n, g, s) for n, (g, s) in _GENDER.items()}
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яёα-ώ]"
+_NAME = rf"(?:{_CAPITAL}['’])?{_CAPITAL}[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)?"
 _PERSON = rf"(?<!\w)(?:(?P<title>{'|'.join(HONORIFICS)})\.?[ \t]+(?P<one>{_NAME})(?:[ \t]+(?P<two>{_NAME}))?|(?P<given>{'|'.join(_GENDER)})[ \t]+(?P<family>{_NAME}))(?!\w)"
 KINDS = ("email", "phone", "card", "ip", "identity", "account", "secret", "person")
 
@@ -89,6 +96,8 @@ def _compiled() -> tuple[re.Pattern, list[str]]:
 
 _STRUCTURED, _KIND_OF = _compiled()
 _PERSONS = re.compile(_PERSON)
+_MENTION = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_PIECE = re.compile(rf"{_CAPITAL}[^\W\d_]+")
 _HEADS = (*HONORIFICS, *_GENDER)
 
 
@@ -105,7 +114,7 @@ ALPHABETS: tuple[str, ...] = (
     "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x391, 0x3A2))), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))),
 )
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
-_OTHER = ((0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0x5D0, 0x5EB), (0x621, 0x64B), (0x905, 0x93A))
+_OTHER = ((0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0x5D0, 0x5EB), (0x621, 0x64B), (0x905, 0x93A), (0x531, 0x557), (0x561, 0x587), (0x10D0, 0x10FB), (0xE01, 0xE2F))
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
@@ -193,9 +202,11 @@ def structured(kind: str, text: str, key: bytes) -> str:
     if kind == "identity":
         return _digits(text, key, "identity")
     if kind == "email":
-        local, _, domain = text.rpartition("@")
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        local, _, domain = low.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{in_format(local, key, 'local')}@{in_format(host, key, 'host')}.{top}"
+        new = f"{in_format(local, key, 'local')}@{in_format(host, key, 'host')}.{top}"
+        return "".join(c.upper() if was != old and len(c.upper()) == 1 else c for c, was, old in zip(new, low, text, strict=True))
     if kind == "account":
         return text[:2] + in_format(text[2:], key, "account")
     hexes = next((h for h in HEX if all(c in h for c in text)), None)
@@ -209,48 +220,106 @@ ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("
 
 
 def script_of(name: str) -> str:
+    """latin, cyrillic, greek, or other."""
     o = ord(name[0])
-    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin"
+    return "greek" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "other"
 
 
-def built(name: str, gender: str, attempt: int, syllables: int, key: bytes) -> str:
-    """A built name of the same script, and gender where known; 64 ways for each syllable. attempt: keeps colliding names apart."""
-    script = script_of(name)
-    on, vowels = SYLLABLES[script]
-    v = int.from_bytes(hashlib.blake2b(f"{gender}|{name}|{attempt}".encode(), key=key, digest_size=32).digest(), "little")
+def ending_gender(canonical: str) -> str:
+    """The gender that a surname shows by its own ending, so that it is the same wherever the name stands."""
+    script, last = script_of(canonical), canonical[-1]
+    if script == "cyrillic":
+        return "f" if last in "ая" else "" if last in "оеиу" else "m"
+    return ("m" if last == "σ" else "f") if script == "greek" else ""
+
+
+def letters(canonical: str, gender: str, attempt: int, syllables: int, key: bytes) -> str:
+    """The small letters of a built name of the same script and gender; 64 ways for each syllable. attempt: keeps colliding names apart."""
+    script = script_of(canonical)
+    on, vowels = SYLLABLES.get(script, SYLLABLES["latin"])
+    v = int.from_bytes(hashlib.blake2b(f"{gender}|{canonical}|{attempt}".encode(), key=key, digest_size=32).digest(), "little")
     out = ""
     for _ in range(syllables):
         v, s = divmod(v, 64)
         out += on[s // 4] + vowels[s % 4]
-    out += ENDINGS.get((script, gender), "")
-    return out.upper() if name.isupper() and len(name) > 1 else out.capitalize()
+    return out + ENDINGS.get((script, gender), "")
+
+
+def permuted(name: str, key: bytes) -> str | None:
+    """The surrogate of a name of another script within its own format; None for other names, or where nothing could change."""
+    if script_of(name) != "other":
+        return None
+    new = in_format(name, key, "name")
+    return new if new != name else None
+
+
+def styled(small: str, name: str) -> str:
+    """Small letters in the case of a name, with its hyphen or apostrophe."""
+    if name.isupper():
+        small = small.upper()
+    at = next((i for i, c in enumerate(name) if c in "-'’"), 0)
+    if not at:
+        return small if name.isupper() else small.capitalize()
+    cut = 1 if at == 1 else max(2, len(small) // 2)
+    return small[:1].upper() + small[1:cut] + name[at] + (small[cut:].capitalize() if name[at + 1 : at + 2].isupper() and not name.isupper() else small[cut:])
 
 
 def persons(m: re.Match) -> list[tuple[int, int, str, str]]:
-    """(start, end, role, gender) of the names in a match: role given (listed) or built."""
+    """(start, end, role, gender) of the names in a match. Roles: given (listed), first (a given name that is not listed), family."""
     gender = HONORIFICS.get(m["title"] or "", "")
     out = []
     for group in ("one", "two", "given", "family"):
         if m[group]:
-            listed = _GENDER.get(m[group])
+            listed = _LISTED.get(m[group].casefold())
             if listed and group != "family":
-                gender = gender or listed[0]
-                out.append((*m.span(group), "given", listed[0]))
+                out.append((*m.span(group), "given", listed[1]))
+            elif group == "one" and m["two"]:
+                out.append((*m.span(group), "first", gender))
             else:
-                out.append((*m.span(group), "built", ""))
+                out.append((*m.span(group), "family", ending_gender(m[group].casefold())))
     return out
 
 
+def people(text: str) -> tuple[list[tuple[int, int]], dict[str, tuple[str, str]]]:
+    """Places of names beside a title or a listed name, and role and gender of each name of the text, by its small letters."""
+    places, names = [], {}
+    for m in person_matches(text):
+        for s, e, role, gender in persons(m):
+            places.append((s, e))
+            names.setdefault(text[s:e].casefold(), (role, gender))
+    return places, names
+
+
+def mentions(text: str, names: dict[str, tuple[str, str]]) -> Iterator[tuple[int, int]]:
+    """Places of all capitalised words that are one of the names, also as a part of a hyphenated word."""
+    for m in _MENTION.finditer(text):
+        if m[0].casefold() in names:
+            yield m.span()
+        elif not m[0].isalpha():
+            for p in _PIECE.finditer(text, *m.span()):
+                if p[0].casefold() in names:
+                    yield p.span()
+
+
 class Replacer:
-    def __init__(self, key: str, syllables: int = 3, attempts: dict[str, int] | None = None):
+    """attempts: of names whose built name would collide, by (small letters, gender); these are a syllable longer."""
+
+    def __init__(self, key: str, syllables: int = 3, attempts: dict[tuple[str, str], int] | None = None):
         self.key, self.syllables, self.attempts = key.encode()[:64], syllables, attempts or {}
         self.memo: dict[tuple[str, str], str] = {}
 
     def name(self, name: str, role: str, gender: str) -> str:
+        canonical = name.casefold()
         if role == "given":
-            names = GIVEN_NAMES[script_of(name), gender]
-            return names[permute(names.index(name), len(names), self.key, f"given{script_of(name)}{gender}")]
-        return built(name, gender, self.attempts.get(name, 0), self.syllables, self.key)
+            listed, gender, script = _LISTED[canonical]
+            names = GIVEN_NAMES[script, gender]
+            new = names[permute(names.index(listed), len(names), self.key, f"given{script}{gender}")]
+            return new.upper() if name.isupper() else new
+        new = permuted(name, self.key)
+        if new is None:
+            attempt = self.attempts.get((canonical, gender))
+            new = styled(letters(canonical, gender, attempt or 0, self.syllables + (attempt is not None), self.key), name)
+        return new
 
     def surrogate(self, kind: str, text: str) -> str:
         got = self.memo.get((kind, text))
@@ -268,8 +337,9 @@ class Replacer:
                 kind = _KIND_OF[int(m.lastgroup[1:])] if m.lastgroup and m.lastgroup[0] == "e" else next(_KIND_OF[k] for k in range(len(_KIND_OF)) if m[f"e{k}"] is not None)
                 span = m.span("secret") if m["secret"] else m.span()
                 found.append((*span, kind, "", ""))
-        for m in person_matches(text):
-            found += [(s, e, "person", role, g) for s, e, role, g in persons(m)]
+        places, names = people(text)
+        if names:
+            found += [(s, e, "person", *names[text[s:e].casefold()]) for s, e in (*places, *mentions(text, names))]
         found.sort(key=lambda x: x[0])
         out, at = [], 0
         for x in found:
@@ -293,72 +363,67 @@ KEY = "echoframe"
 COLLISIONS, EXCEPTIONS = 1_000, 100_000
 
 
-def collisions(df: DataFrame, text: str, key: str) -> tuple[int, dict[str, int]]:
-    """Syllables for built names, and the attempt of each name that would collide otherwise.
+def collisions(df: DataFrame, text: str, key: str) -> tuple[int, dict[tuple[str, str], int]]:
+    """Syllables for built names, and the attempt of each name that would collide otherwise, by (small letters, gender).
 
     Only distinct names are shuffled. The table that reaches the driver holds the colliding ones:
     about COLLISIONS by choice of the length, EXCEPTIONS at most, beyond which names grow longer.
     """
-    names = schema_of("name string")
+    spark, secret = df.sparkSession, key.encode()[:64]
+    names = schema_of("canonical string, gender string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {t[s:e] for t in b.column(0).to_pylist() if t for m in person_matches(t) for s, e, role, _ in persons(m) if role == "built"}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=names.names)
+            found = sorted({(n, g) for t in b.column(0).to_pylist() if t for n, (role, g) in people(t)[1].items() if role != "given"})
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=names.names)
 
     distinct = written(df.select(text).mapInArrow(run, names).distinct(), "names")
+    real = distinct.select(F.translate("canonical", "-'’", "").alias("letters")).distinct()
     n = distinct.count()
     syllables = 3
     while n * n > 2 * COLLISIONS * 64**syllables:
         syllables += 1
     while True:
-        built_schema = schema_of("name string, surrogate string")
+        made_schema = schema_of("canonical string, gender string, letters string, listed boolean")
 
         def build(batches: Iterator[pa.RecordBatch], k: int = syllables) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                given = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([built(x, "", 0, k, key.encode()[:64]) for x in given], pa.string())], names=built_schema.names)
-
-        made = distinct.mapInArrow(build, built_schema)
-        taken = made.groupBy("surrogate").count().where("count > 1").select("surrogate")
-        ranked = made.join(taken, "surrogate").withColumn("rank", F.row_number().over(Window.partitionBy("surrogate").orderBy("name"))).where("rank > 1")
-        rows = ranked.select("name").limit(EXCEPTIONS + 1).collect()
+                rows = [(c, g, letters(c, g, 0, k, secret)) for c, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if permuted(c, secret) is None]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.string()) for i in range(3)), pa.array([r[2] in _LISTED for r in rows], pa.bool_())], names=made_schema.names)
+
+        made = distinct.mapInArrow(build, made_schema)
+        taken = made.groupBy("letters").count().where("count > 1").select("letters")
+        ranked = made.join(taken, "letters").withColumn("rank", F.row_number().over(Window.partitionBy("letters").orderBy("canonical", "gender"))).where("rank > 1")
+        clash = ranked.select(names.names).union(made.join(real, "letters", "left_semi").select(names.names)).union(made.where("listed").select(names.names)).distinct()
+        rows = clash.limit(EXCEPTIONS + 1).collect()
         if len(rows) <= EXCEPTIONS:
             break
         syllables += 1
-    attempts: dict[str, int] = {}
-    held: set[str] = set()
-    for (name,) in sorted(rows):
-        attempt = 1
-        while True:
-            s = built(name, "", attempt, syllables + 1, key.encode()[:64])  # one syllable more than any other name has
-            if s not in held:
-                break
-            attempt += 1
-        held.add(s)
-        attempts[name] = attempt
+    attempts: dict[tuple[str, str], int] = {}
+    held: dict[str, tuple[str, str]] = {}
+    pending = sorted(tuple(r) for r in rows)
+    while pending:
+        for name in pending:
+            attempt = attempts.get(name, 0) + 1
+            while (s := letters(*name, attempt, syllables + 1, secret)) in held or s in _LISTED:  # one syllable more than any other name has
+                attempt += 1
+            held[s] = name
+            attempts[name] = attempt
+        made = spark.createDataFrame([(letters(*name, attempts[name], syllables + 1, secret),) for name in pending], "letters string")
+        pending = sorted(held[r.letters] for r in real.join(F.broadcast(made), "letters").select("letters").collect())
     return syllables, attempts
 
 
-class Keeper(Replacer):
-    """A replacer whose excepted names are one syllable longer."""
-
-    def name(self, name: str, role: str, gender: str) -> str:
-        attempt = self.attempts.get(name)
-        if role == "given" or attempt is None:
-            return super().name(name, role, gender)
-        return built(name, gender, attempt, self.syllables + 1, self.key)
-
-
 def replace(df: DataFrame, text: str = "text", key: str = KEY, counts: str = "entities") -> DataFrame:
-    """The rows of df with surrogates in the text, and a column of entity kinds, in order of place; all other columns stay."""
+    """The rows of df with surrogates in the text, and a last column of entity kinds, in order of place; all other columns stay."""
+    (counts,) = fresh(df, counts)
     syllables, attempts = collisions(df, text, key)
     shared = df.sparkSession.sparkContext.broadcast(attempts)
-    schema = T.StructType([f for f in df.schema.fields if f.name != counts] + [T.StructField(counts, T.ArrayType(T.StringType(), False))])
+    schema = T.StructType(df.schema.fields + [T.StructField(counts, T.ArrayType(T.StringType(), False))])
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keeper = Keeper(key, syllables, shared.value)
+        keeper = Replacer(key, syllables, shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

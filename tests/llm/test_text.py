@@ -392,7 +392,7 @@ def test_permutations_are_one_to_one():
 
 
 def test_surrogates_keep_format():
-    r = surrogates.Keeper("k")
+    r = surrogates.Replacer("k")
     for text, shape in [("+1 (980) 555-6268", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("97.51.17.173", r"\d+\.\d+\.\d+\.\d+"), ("é.x7@mail3.example.org", r"[ß-ÿ]\.[a-z]\d@[a-z]{4}\d\.[a-z]{7}\.org"), ("4111 1111 1111 1111", r"\d{4} \d{4} \d{4} \d{4}"), ("123-45-6789", r"\d{3}-\d\d-\d{4}"), ('token = "04dbebab91ab85687d33"', r'token = "[0-9a-f]{20}"')]:
         new, kinds = r.replace(text)
         assert len(kinds) == 1 and new != text and re.fullmatch(shape, new), (text, new)
@@ -404,7 +404,7 @@ def test_surrogates_keep_format():
 
 
 def test_persons_keep_gender_script_and_coreference():
-    r = surrogates.Keeper("k")
+    r = surrogates.Replacer("k")
     new, kinds = r.replace("Mr. John Smith saw Anna Smith. Later Mr Smith and Госпожа Анна Иванова left.")
     given, family = re.match(r"Mr\. (\w+) (\w+) saw (\w+) (\w+)\.", new).group(1, 2)
     assert given in surrogates.GIVEN_NAMES["latin", "m"] and given != "John" and family != "Smith"
@@ -422,6 +422,53 @@ def test_names_stay_distinct_when_built_names_collide(spark, monkeypatch):
     assert len(names) == 3000 and len({r.text.split()[-1] for r in out}) == 3000
 
 
+def test_every_mention_of_a_name_is_replaced_in_its_case_script_and_gender():
+    r = surrogates.Replacer("k")
+    new = r.replace("John Smith spoke. Later Smith left, and SMITH's car, the Smith-led team and John stayed.")[0]
+    given, family = re.match(r"(\w+) (\w+) spoke", new).groups()
+    assert new == f"{given} {family} spoke. Later {family} left, and {family.upper()}'s car, the {family}-led team and {given} stayed."
+    a, b = re.fullmatch(r"Mr (\w+) and Mr (\w+)", r.replace("Mr Smith and Mr SMITH")[0]).groups()
+    assert a.upper() == b != a
+    (name,) = re.fullmatch(r"Dr (\w+)", r.replace("Dr 田中")[0]).groups()
+    assert len(name) == 2 and name != "田中" and all(0x4E00 <= ord(c) < 0x9FFF for c in name)
+    new = r.replace("John@x.com and john@x.com and JOHN@X.com")[0].split(" and ")
+    assert new[0].lower() == new[1] == new[2].lower() != "john@x.com" and new[0][0].isupper() and new[2].rpartition(".")[0].isupper()
+    assert re.fullmatch(r"Mrs \w+a \w+, \w+a", r.replace("Mrs Zelda Smith, Zelda")[0])
+    assert re.fullmatch(r"Господин \w+ин и Госпожа \w+а", r.replace("Господин Петров и Госпожа Петрова")[0])
+    assert re.fullmatch(r"Mr [A-Z]'[A-Z][a-z]+ and Ms [A-Z][a-z]+-[A-Z][a-z]+", r.replace("Mr O'Brien and Ms Smith-Jones")[0])
+    assert r.replace("The Smith family; smith") == ("The Smith family; smith", [])
+    long = "Mr Smith " + "and then Smith met Jones " * 50_000
+    assert "Smith" not in r.replace(long)[0] and r.replace(long)[0].count("Jones") == 50_000
+
+
+def test_built_names_are_no_listed_or_real_names(spark):
+    first = surrogates.letters("smith", "", 0, 3, surrogates.KEY.encode())
+    texts = ["Mr Smith left", f"Mr {first.capitalize()} left", None, ""]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, entities string")
+    out = surrogates.replace(df)
+    assert out.columns == ["doc_id", "text", "entities", "entities_"]
+    got = {r.doc_id: r for r in out.collect()}
+    new = [got[i].text.split()[1].lower() for i in (0, 1)]
+    assert len(set(new)) == 2 and not {"smith", first} & set(new) and {r.entities for r in got.values()} == {"mine"}
+    assert got[2].text is None and got[3].text == "" and got[3].entities_ == []
+
+
+def test_surrogates_equal_a_plain_substitution(spark):
+    """Brute force: the same map of strings to surrogates, put in one entity after the other."""
+    people = [f"{g} {f}" for g in ("John", "Anna", "Paul") for f in ("Keller", "Novak", "Brandt")]
+    texts = [f"{p} wrote to a{i % 4}@mail.org; {p.split()[1].upper()} called +1 (980) 555-62{i % 3}8." for i, p in enumerate(people * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    syllables, attempts = surrogates.collisions(df, "text", surrogates.KEY)
+    r = surrogates.Replacer(surrogates.KEY, syllables, attempts)
+    table = {n: r.name(n, "given", "") for n in ("John", "Anna", "Paul")}
+    for n in ("Keller", "Novak", "Brandt"):
+        table[n], table[n.upper()] = r.name(n, "family", ""), r.name(n.upper(), "family", "")
+    table |= {x: r.surrogate(k, x) for k, x in [*(("email", f"a{i}@mail.org") for i in range(4)), *(("phone", f"+1 (980) 555-62{i}8") for i in range(3))]}
+    assert len(set(table.values())) == len(table)
+    want = [re.sub("|".join(map(re.escape, sorted(table, key=len, reverse=True))), lambda m: table[m[0]], t) for t in texts]
+    assert [x.text for x in surrogates.replace(df).orderBy("doc_id").collect()] == want
+
+
 def test_surrogates_over_columns(spark):
     rows = corpus(8) + [(980, "write to jo.9@mail1.example.com"), (981, None)]
     df = frame(spark, rows)
