@@ -58,13 +58,14 @@ def _op8_sql() -> str:
     term = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
     strict = " OR ".join(map(term, urls.STRICT_TERMS))
     soft = " + ".join(f"{w} * {term(t)}::INT" for t, w in urls.SOFT_TERMS.items())
+    distinct = " + ".join(f"{term(t)}::INT" for t in urls.SOFT_TERMS)
     cases = lambda k: " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{(f'{h}/{p}', v)[k]}'" for h, p, v in sorted(((*r.split("/", 1), v) for r, v in urls.RULES), key=lambda x: -len(x[0] + x[1]))
     )
     return f"""
 WITH a AS (SELECT page_id, {_LOWER.format("url")} AS u, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, u, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
-SELECT page_id, host, path, CASE {cases(0)} END AS rule, CASE {cases(1)} WHEN {strict} OR {soft} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM b"""
+SELECT page_id, host, path, CASE {cases(0)} END AS rule, CASE {cases(1)} WHEN {strict} OR ({soft} >= {urls.SOFT_LIMIT} AND {distinct} >= {urls.SOFT_DISTINCT}) THEN 'block' ELSE 'allow' END AS verdict FROM b"""
 
 
 #: The other operators have no SQL: hashes, automata, models and components; tests hold them against brute force.

@@ -2,14 +2,16 @@
 
 Strict and soft terms are compiled into one automaton per worker and streamed over
 each lower-cased url. A hit counts only between boundaries: no ASCII letter or digit
-beside it. One strict term, or soft terms whose weights reach the limit (each distinct
-term counts once), block the url. Rules for hosts and paths go first; the longest rule wins.
+beside it. One strict term blocks the url, and so do two or more distinct soft terms whose
+weights together reach the limit (a term counts once, however often it stands there; one soft
+term alone never blocks). Rules for hosts and paths go first; the longest rule wins.
 
 Defined results
 ---------------
 * A null url, or one without `://`, has an empty host and path, fits no rule, and is judged by its terms alone (null: allow).
 * Rules of equal length cannot both fit unless they are equal; then the first in the table wins.
-* Repeated rows are judged alike. One pass, no shuffle.
+* A term that is both strict and soft is strict. An empty vocabulary, and empty terms, hit nothing.
+* Urls of any length are judged whole, in time linear in their length. Repeated rows are judged alike. One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,9 +27,15 @@ from .frames import schema_of
 
 #: One hit blocks.
 STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cheap-pills", "spam-farm", "escort", "hentai", "camgirl", "malware", "phishing", "warez")
-#: Weights of soft terms; the limit is reached by several distinct ones.
-SOFT_TERMS = {"adult": 1, "sex": 1, "nude": 1, "bet": 1, "betting": 1, "poker": 1, "slots": 1, "pills": 1, "cheap": 1, "spam": 1, "hack": 1, "crack": 1, "torrent": 1, "loan": 1, "loans": 1, "dating": 1, "free-money": 1, "farm": 1}
-SOFT_LIMIT = 2
+#: Weights of soft terms: 3 is rarely innocent, 2 often not, 1 only beside others.
+SOFT_TERMS = {
+    **dict.fromkeys(("adult", "nude", "sex", "free-money", "hookup", "jackpot"), 3),
+    **dict.fromkeys(("betting", "crack", "dating", "keygen", "pills", "poker", "slots", "spam", "torrent"), 2),
+    **dict.fromkeys(("bet", "bonus", "cheap", "farm", "free", "hack", "hot", "loan", "loans", "win"), 1),
+}
+#: Several distinct soft terms, at least SOFT_DISTINCT, block when their weights reach the limit.
+SOFT_LIMIT = 4
+SOFT_DISTINCT = 2
 #: (rule, verdict), as the contract of the query gives them.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -41,16 +49,21 @@ class Vocabulary:
     strict: tuple[str, ...] = STRICT_TERMS
     soft: tuple[tuple[str, int], ...] = tuple(SOFT_TERMS.items())
     limit: int = SOFT_LIMIT
+    distinct: int = SOFT_DISTINCT
 
     def automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for t, w in [*self.soft, *((t, 0) for t in self.strict)]:
-            a.add_word(t.translate(_LOWER), (t, w))
+        for t, w in [*self.soft, *((t, None) for t in self.strict)]:
+            if t:
+                a.add_word(t.translate(_LOWER), (t, w))
         a.make_automaton()
         return a
 
+    def blocks(self, strict: list[str], soft: dict[str, int]) -> bool:
+        return bool(strict) or (len(soft) >= self.distinct and sum(soft.values()) >= self.limit)
+
 
 def split(url: str | None) -> tuple[str, str]:
     """Host, with A-Z lower-cased, and path."""
@@ -77,10 +90,12 @@ def hits(url: str, automaton) -> tuple[list[str], dict[str, int]]:
     """Distinct strict terms, and distinct soft terms with weights, that stand between boundaries."""
     low = url.translate(_LOWER)
     strict, soft = {}, {}
+    if not len(automaton):
+        return [], {}
     for end, (term, weight) in automaton.iter(low):
         start = end - len(term) + 1
         if (start == 0 or low[start - 1] not in _WORD) and (end + 1 == len(low) or low[end + 1] not in _WORD):
-            (soft if weight else strict)[term] = weight
+            (strict if weight is None else soft)[term] = weight
     return sorted(strict), soft
 
 
@@ -100,7 +115,7 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tu
                 host, path = split(u)
                 found = rule_of(host, path, by_host)
                 strict, soft = hits(u or "", automaton)
-                verdict = found[1] if found else "block" if strict or sum(soft.values()) >= vocabulary.limit else "allow"
+                verdict = found[1] if found else "block" if vocabulary.blocks(strict, soft) else "allow"
                 rows.append((host, path, found[0] if found else None, verdict, strict, sorted(soft)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.field("element", pa.string(), False))) for c in cols[4:])], names=OUT.names)

@@ -383,6 +383,30 @@ def test_url_rules_and_terms(spark):
     assert urls.judge(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_url_weights_decide(spark):
+    verdicts = {"http://x.org/adult/adult": "allow", "http://x.org/cheap/farm/loan": "allow", "http://x.org/cheap/farm/loan/win": "block", "http://x.org/adult?bonus": "block", "http://x.org/POKER-slots": "block", "http://x.org/poker/bonus": "allow", "http://x.org/" + "pokers/" * 100_000: "allow", "http://x.org/" + "a/" * 100_000 + "dating/betting": "block"}
+    df = spark.createDataFrame(list(enumerate(verdicts)) * 2, "page_id long, url string")
+    assert [r.verdict for r in urls.judge(df).orderBy("page_id").collect()] == [v for v in verdicts.values() for _ in range(2)]
+    none = urls.Vocabulary((), ())
+    assert {r.verdict for r in urls.judge(df, vocabulary=none).collect()} == {"allow"}
+    zero = urls.Vocabulary(("bad", ""), (("poker", 0), ("bad", 1)))
+    assert urls.hits("x/poker/bad", zero.automaton()) == (["bad"], {"poker": 0})
+
+
+def test_url_terms_equal_plain_search():
+    """Brute force: every place of every term, with its two neighbours looked at."""
+    r, v = random.Random(3), urls.Vocabulary()
+    a = v.automaton()
+    terms = [*v.strict, *dict(v.soft)]
+    for _ in range(400):
+        u = "".join(r.choice([r.choice(terms), r.choice(terms).upper(), "/", "-", "s", "x", "é"]) for _ in range(r.randint(0, 9)))
+        low = u.lower()
+        found = {t for t in terms if re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)}
+        strict, soft = urls.hits(u, a)
+        assert set(strict) == found & set(v.strict) and soft == {t: w for t, w in v.soft if t in found}
+        assert v.blocks(strict, soft) == (bool(strict) or (len(soft) > 1 and sum(soft.values()) >= 4))
+
+
 # -- surrogates ---------------------------------------------------------------------------------------
 def test_permutations_are_one_to_one():
     for n in (1, 2, 3, 10, 257, 1000):
