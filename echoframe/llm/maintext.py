@@ -3,7 +3,8 @@
 A page is one sequence of tags and stretches of text. Every word scores above zero, and
 every tag below zero; how much is the log-odds of lying inside the content, counted on
 labelled pages, by the word's surroundings (plain, in a link, or outside the article on
-a page that marks one) and by the tag's name. One linear scan finds the contiguous
+a page that marks one; inside a marked article a link's words are plain) and by the tag's
+name. One linear scan finds the contiguous
 run of greatest sum. Elements that are boilerplate by name or class (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) score nothing
 and give no text, so an advert in the middle does not break a run.
@@ -13,6 +14,7 @@ Defined results
 * A null or empty page, or one without content words, has an empty text.
 * Character references are decoded as HTML5 does; white space, also between blocks, becomes one space.
 * Unclosed elements end where an element around them ends, or with the page; a tag that the page's end cuts off is no text.
+* A quotation mark counts only behind an equals sign of a tag; elsewhere, and unclosed, it is a character like others.
 * Of runs with the same sum, the first to end wins. Repeated rows give equal rows. One pass, no shuffle.
 """
 
@@ -35,7 +37,7 @@ _RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe",
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>{'|'.join(_RAW)})\b(?P<rest>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')?|[^<>=])*+)(?P<end>>|\Z)",
     re.S | re.I,
 )
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -70,18 +72,20 @@ def items_of(page: str) -> list[Item]:
     out: list[Item] = []
     stack: list[tuple[str, bool]] = []
     counts = Counter()  # of open chrome, marked and link elements
+    opened = Counter()  # of open elements by name
     marked = False
     at = 0
 
     def text(piece: str) -> None:
         if piece:
             piece = html.unescape(piece)
-            out.append(Item("", False, piece, len(piece.split()), "link" if counts["a"] else "in" if counts["marked"] else "plain", counts["chrome"] > 0))
+            out.append(Item("", False, piece, len(piece.split()), "in" if counts["marked"] else "link" if counts["a"] else "plain", counts["chrome"] > 0))
 
     def shift(name: str, chrome: bool, by: int) -> None:
         counts["chrome"] += by * chrome
         counts["marked"] += by * (name in MARKED)
         counts["a"] += by * (name == "a")
+        opened[name] += by
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -92,7 +96,7 @@ def items_of(page: str) -> list[Item]:
                 out.append(Item(m["raw"].lower(), False, "", 0, "", counts["chrome"] > 0))
             continue
         if m["close"]:
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 while True:
                     n, chrome = stack.pop()
                     shift(n, chrome, -1)

@@ -362,6 +362,34 @@ def test_main_text_of_pages(spark):
     assert {(r.page_id, r.n_chars) for r in maintext.main_text(odd).collect()} == {(1, 0), (None, 3), (2, 499_999)}
 
 
+def test_main_text_of_awkward_markup():
+    w = maintext.train()
+    links = "<ul>" + "<li><a href='/x'>linked item</a></li>" * 60 + "</ul>"
+    assert maintext.extract(f"<nav>menu</nav><article><p>First words.</p>{links}<p>last words</p></article>", w) == "First words. " + "linked item " * 60 + "last words"
+    assert maintext.extract("<body><p don't>one two</p><p>three <b class=\"x'>\">four</b></p><p title=\"open>five</p>", w) == "one two three four five"
+    page = "<p>x" * 50_000 + "<b>y</b>" * 50_000  # unclosed elements take linear time
+    assert maintext.extract(page, w) == "x " * 49_999 + "x" + "y" * 50_000
+
+
+@pytest.mark.parametrize("left_out", range(len(maintext.LABELLED)))
+def test_main_text_of_a_page_left_out_of_training(left_out):
+    """Held out: weights of the other labelled pages find this one's content, most of which have no article."""
+    page = maintext.LABELLED[left_out]
+    w = maintext.train(maintext.LABELLED[:left_out] + maintext.LABELLED[left_out + 1 :])
+    plain = lambda x: maintext.extract(x.replace("⟦", "").replace("⟧", ""), w)
+    inner = "".join("" if x.name in maintext.INLINE else " " if x.name else x.text for x in maintext.items_of(re.search("⟦(.*)⟧", page, re.S)[1]))
+    want, got = inner.split(), plain(page).split()
+    hit = sum(min(got.count(x), want.count(x)) for x in set(want))
+    assert hit >= 0.9 * len(want) and hit >= 0.9 * len(got), got
+
+
+def test_learned_weights_decide_main_text():
+    """Ablation: with equal weights of all words most labelled pages keep menus or footers."""
+    w, flat = maintext.train(), maintext.Weights({"plain": 1.0, "link": 1.0, "outside": 1.0}, {}, -0.1)
+    bare = [re.sub("[⟦⟧]", "", p) for p in maintext.LABELLED]
+    assert sum(maintext.extract(p, w) != maintext.extract(p, flat) for p in bare) >= 4
+
+
 def test_best_run():
     r = random.Random(1)
     for _ in range(300):
