@@ -60,3 +60,14 @@ def test_health_counts_near_pairs_of_documents(spark, tmp_path):
     s = core.QUERIES["document_summary_all"](spark, str(tmp_path)).first()
     assert (s.n_pairs, s.n_exact, s.n_near, s.n_members) == (2, 1, 1, 4)
     assert {r.filename: r.n_pairs for r in core.QUERIES["health_by_source_all"](spark, str(tmp_path)).collect()} == {"s": 1, "t": 0}
+
+
+@pytest.mark.parametrize("name", ["text_report_pairs"])
+def test_reports_round_halves_up(spark, tmp_path, name):
+    bodies = ["1" * 80, "2" * 15 + "1" * 65]  # 81.25 %
+    spark.createDataFrame(list(enumerate(bodies)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    got, want = core.QUERIES[name](spark, str(tmp_path)), con.execute(__spark_entry__.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert [tuple(r[n] for n in names) for r in got.collect()] == want.fetchall() and got.first().similarity == 81.3
