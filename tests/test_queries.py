@@ -62,7 +62,7 @@ def test_health_counts_near_pairs_of_documents(spark, tmp_path):
     assert {r.filename: r.n_pairs for r in core.QUERIES["health_by_source_all"](spark, str(tmp_path)).collect()} == {"s": 1, "t": 0}
 
 
-@pytest.mark.parametrize("name", ["text_report_pairs", "html_report_pairs"])
+@pytest.mark.parametrize("name", ["text_report_pairs", "html_report_pairs", "json_report_pairs"])
 def test_reports_round_halves_up(spark, tmp_path, name):
     bodies = ["1" * 80, "2" * 15 + "1" * 65]  # 81.25 %
     spark.createDataFrame(list(enumerate(bodies)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
