@@ -1,8 +1,13 @@
 import random
+import threading
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from echoframe import queries as core
 from echoframe.functions import health, text
+from echoframe.operators import near
+from echoframe.operators.distance import Block
 from echoframe.operators.exact import exact_groups, exact_pairs, unmatched
 from echoframe.operators.near import near_pairs, similarity
 from echoframe.operators.summary import summary
@@ -116,3 +121,56 @@ def test_suggestions(spark):
 def test_report_columns(spark):
     r = spark.createDataFrame([("/src/a\\b/c.cpp", 'x<"&>\n\t\\', 95.0)], "p string, t string, s double").select(text.basename(F.col("p")), text.shorten(F.col("p"), "/src"), text.escape_html(F.col("t")), text.escape_json(F.col("t")), text.similarity_color(F.col("s")), text.first_lines(F.col("t"))).first()
     assert list(r) == ["c.cpp", "a\\b/c.cpp", "x&lt;&quot;&amp;&gt;\n\t\\", 'x<\\"&>\\n\\t\\\\', "red", ['x<"&>', "\t\\"]]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed(r, base, rate, letters):
+    return "".join(c if r.random() > rate else r.choice(["", c + r.choice(letters), r.choice(letters)]) for c in base)
+
+
+def test_distances_to_a_block_within_any_bound():
+    r = random.Random(3)
+    for n in (0, 1, 63, 64, 65, 128, 150):
+        base = "".join(r.choice("abcd") for _ in range(n))
+        texts = [changed(r, base, rate, "abcd") + "d" * more for rate in (0.02, 0.3, 1) for more in (0, 1, 64)]
+        block = Block([t.encode() for t in texts])
+        want = np.array([edit_distance(base, t) for t in texts])
+        for share in (0, 0.05, 0.3, 1):
+            most = np.floor(share * np.maximum(block.lengths, n)).astype(int)
+            got = block.distances(base.encode(), most)
+            assert (np.minimum(got, most + 1) == np.minimum(want, most + 1)).all()
+            assert (block.distances(base.encode(), most[3:7], 3, 7) == got[3:7]).all() or share < 1
+
+
+def test_near_pairs_over_many_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(near, "OUT_ROWS", 5)
+    r = random.Random(5)
+    bases = ["".join(r.choice("0123456789+-") for _ in range(n)) for n in (90, 130, 200)]
+    bodies = [changed(r, b, rate, "0123456789") for b in bases for rate in (0, 0, 0.05, 0.1, 0.15, 0.2, 0.2, 0.3, 0.5)]
+    want = []
+    for i, a in enumerate(bodies):
+        for j, b in enumerate(bodies[:i]):
+            s = (1 - edit_distance(a, b) / max(len(a), len(b))) * 100
+            if s >= 70 and min(len(a), len(b)) >= 80:
+                want.append((j, i, round(s, 6)))
+    assert pairs_of(near_pairs(units(spark, [(f"n{i}", b, "f") for i, b in enumerate(bodies)]), 70.0)) == sorted(want) and want
+
+
+def test_near_pass_over_documents_ends(spark):
+    """All pairs of 851 classes of sf0.01: the distance of one pair at a time did not end in this time."""
+    late = threading.Timer(240, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert core.QUERIES["near_document_pairs"](spark, "/root/testdata/sf0.01").where("similarity BETWEEN 70 AND 100 AND idx1 < idx2").count() == 143_337
+    finally:
+        late.cancel()
