@@ -71,3 +71,20 @@ def test_reports_round_halves_up(spark, tmp_path, name):
     got, want = core.QUERIES[name](spark, str(tmp_path)), con.execute(__spark_entry__.oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert [tuple(r[n] for n in names) for r in got.collect()] == want.fetchall() and got.first().similarity == 81.3
+
+
+def test_summary_of_both_passes_keeps_no_pairs(spark, tmp_path, monkeypatch):
+    body = " ".join(f"word{i} + {i};" for i in range(40))
+    rows = [(n, body.replace(f"+ {n};", f"- {n};"), "ab"[n % 2], "s", 1) for n in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, written = [], core.written
+
+    def seen(df, what):
+        out = written(df, what)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(core, "written", seen)
+    s = core.QUERIES["document_summary_all"](spark, str(tmp_path)).first()
+    # 36 pairs of an a and a b
+    assert (s.n_pairs, s.n_exact, s.n_near, s.n_members) == (36, 0, 36, 2) and all(n <= 2 for n in kept)
