@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from echoframe import queries as core
 from echoframe.functions import health, text
-from echoframe.operators import near
+from echoframe.operators import near, similar
 from echoframe.operators.distance import Block
 from echoframe.operators.exact import exact_groups, exact_pairs, unmatched
 from echoframe.operators.near import near_pairs, similarity
 from echoframe.operators.summary import summary
-from echoframe.plans.scan import detect, in_order
+from echoframe.plans.scan import detect, file_counts, in_order
 
 BODY = "int total(int first, int second) { int result = first * second + 17; if (result > 100) { result = result - first; } return result; } // "
 SCHEMA = "idx long, name string, body string, filename string"
@@ -174,3 +174,26 @@ def test_near_pass_over_documents_ends(spark):
         assert core.QUERIES["near_document_pairs"](spark, "/root/testdata/sf0.01").where("similarity BETWEEN 70 AND 100 AND idx1 < idx2").count() == 143_337
     finally:
         late.cancel()
+
+
+def test_counts_within_files_are_those_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "CHUNK_ROWS", 4)
+    r = random.Random(9)
+    bases = ["".join(r.choice("0123456789+-") for _ in range(n)) for n in (79, 80, 128, 200, 330)]
+    bodies = [changed(r, b, rate, "0123456789") for b in bases for rate in (0, 0, 0.01, 0.1, 0.2, 0.3, 0.5)] + ["", "int x;", "int x;", "\u00e9" * 90]
+    u = units(spark, [(r.choice("fgh"), b + tail, r.choice("xyz")) for b in bodies for tail in ("", "", " // note")])
+    for t in (0.0, 50.0, 70.0, 100.0):
+        want = {p.file1: p["count"] for p in detect(u, t).where("file1 = file2").groupBy("file1").count().collect()}
+        assert {c.filename: c.n for c in file_counts(u, t).collect() if c.n} == want and len(want) == 3
+    assert file_counts(units(spark, [])).collect() == []
+
+
+def test_similar_pairs_with_either_step(spark):
+    r = random.Random(4)
+    a, b = ([changed(r, "ab" * n, rate, "abcd").encode() + bytes([k]) for n in (31, 32, 33, 100) for k, rate in enumerate((0, 0.1, 0.3, 1) * 5)] for _ in "ab")
+    numbers = list(range(1, len(a) + 1))
+    df = spark.createDataFrame([(a, numbers, b, numbers)], "a array<binary>, na array<bigint>, b array<binary>, nb array<bigint>")
+    for t in (0.0, 70.0, 90.0):
+        want = sum(i * j for i, x in zip(numbers, a) for j, y in zip(numbers, b) if (1 - edit_distance(x, y) / max(len(x), len(y))) * 100 >= t)
+        got = df.select(*(F.call_function(similar.register(spark, wide), "a", "na", "b", "nb", F.lit(t)) for wide in (True, False))).first()
+        assert tuple(got) == (want, want)

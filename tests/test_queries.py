@@ -1,4 +1,6 @@
 import math
+import random
+import threading
 
 import duckdb
 import pytest
@@ -88,3 +90,19 @@ def test_summary_of_both_passes_keeps_no_pairs(spark, tmp_path, monkeypatch):
     s = core.QUERIES["document_summary_all"](spark, str(tmp_path)).first()
     # 36 pairs of an a and a b
     assert (s.n_pairs, s.n_exact, s.n_near, s.n_members) == (36, 0, 36, 2) and all(n <= 2 for n in kept)
+
+
+def test_documents_of_different_sources_are_not_compared(spark, tmp_path):
+    """The 8 million pairs of different sources did not end in this time."""
+    r = random.Random(1)
+    rows = []
+    for n in range(2000):
+        body = "".join(r.choice("0123456789") for _ in range(490))
+        rows += [(2 * n, body, "a", f"s{n}", 1), (2 * n + 1, body[:300] + "+" + body[300:], "b", f"s{n}", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert [tuple(x) for x in core.QUERIES["health_by_source_all"](spark, str(tmp_path)).groupBy("n_units", "n_pairs").count().collect()] == [(2, 1, 2000)]
+    finally:
+        late.cancel()
