@@ -11,8 +11,8 @@ Words are compared unchanged, in windows of 13. Steps:
    recur, and their first document is known. Runs of windows that are first in one
    document are its recurring passages; they hold every recurring window once.
 4. Automata. Passages are dealt to shards by their first document; each shard compiles
-   one automaton of the passages' 7-word blocks (any 13 words of a passage hold one),
-   and streams the documents that have a window of the shard through it. A hit is
+   one automaton of the passages' 7-word blocks (any 13 words of a passage hold one)
+   over numbers of words, and streams the documents that have a window of the shard through it. A hit is
    extended along its passage, word by word; 13 words or more in common are an occurrence.
    Shards with many documents are split by document.
 5. Words in occurrences are removed.
@@ -27,6 +27,8 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +46,10 @@ BLOCK = 7  # (WINDOW + 1) // 2: an aligned block lies in any window
 #: Recurring windows in one automaton, about; documents that one task streams through it, about.
 SHARD_WINDOWS = 250_000
 SHARD_DOCS = 4_000
+#: Items that a step of the search in one document makes at a time, about.
+AT_ONCE = 1 << 18
+#: Bytes of text that are cut into words at a time; hashing takes 40 bytes of memory for each.
+TEXT_BYTES = 1 << 18
 #: Greatest size of the broadcast list of later copies; beyond it they are joined away.
 COPIES_BYTES = 64 << 20
 
@@ -89,7 +95,7 @@ def seeds_of(docs: DataFrame, with_row: bool, is_later: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(2)):
+            for block in K.blocks(b.column(2), TEXT_BYTES):
                 w = Words(block)
                 at, _ = w.windows()
                 row = K.rows_of(w.bounds)[at]
@@ -126,7 +132,7 @@ def stage(docs: DataFrame, is_needed: Callable, is_later: Callable) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(2)):
+            for block in K.blocks(b.column(2), TEXT_BYTES):
                 w = Words(block)
                 n = np.diff(w.bounds)
                 later = is_later(b, block) & (n >= WINDOW)
@@ -200,7 +206,7 @@ def windows_of(rows: DataFrame, is_recurring: Callable, is_later: Callable) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = is_recurring()
         for b in batches:
-            for block in K.blocks(b.column(2)):
+            for block in K.blocks(b.column(2), TEXT_BYTES):
                 w = Words(block)
                 at, h = w.windows()
                 row = K.rows_of(w.bounds)[at]
@@ -221,7 +227,7 @@ def passages_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(1)):
+            for block in K.blocks(b.column(1), TEXT_BYTES):
                 w = Words(block)
                 at, h = w.windows()
                 row = K.rows_of(w.bounds)[at]
@@ -240,64 +246,116 @@ def passages_of(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """An automaton of the blocks of passages."""
+    """An automaton of the blocks of passages, over numbers of words.
 
-    def __init__(self, passages: list[tuple[int, str]]):
+    Words are numbered by their bytes, and 0 is any other word. A number is fed to the automaton as two digits of
+    disjoint ranges, so that no node has many children and blocks only start where a word does.
+    """
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.sizes, self.firsts = array("i"), array("q"), array("q")
+        self.automaton = None
+
+    def add(self, first: int, text: bytes) -> None:
+        """One more passage, as words joined by one space; its first document."""
+        numbers = self.numbers
+        words = [numbers.setdefault(x, len(numbers) + 1) for x in text.split()]
+        self.ids.extend(words)
+        self.sizes.append(len(words))
+        self.firsts.append(first)
+
+    def compile(self) -> None:
         import ahocorasick
 
-        self.words: list[np.ndarray] = []
-        blocks: dict[str, dict[int, list[tuple[int, int]]]] = {}
-        for p, (first, text) in enumerate(passages):
-            words = text.split(" ")
-            raw = np.frombuffer(text.encode(), np.uint8)
-            w = Words(K.Block(raw, np.array([0, len(raw)]), 0))
-            self.words.append(w.hashes)
-            for j in range(0, len(words) - BLOCK + 1, BLOCK):
-                blocks.setdefault(" " + " ".join(words[j : j + BLOCK]) + " ", {}).setdefault(first, []).append((p, j))
-        self.automaton = ahocorasick.Automaton()
-        for text, places in blocks.items():
-            self.automaton.add_word(text, (len(text), places))
-        if blocks:
+        self.ids, self.sizes = np.array(self.ids, np.int32), np.array(self.sizes, np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.known, rank = np.unique(np.array(self.firsts, np.int64), return_inverse=True)
+        per = self.sizes // BLOCK
+        passage = np.repeat(np.arange(len(per)), per)
+        shift = BLOCK * (np.arange(len(passage)) - np.repeat(np.cumsum(per) - per, per))
+        blocks = self.ids[(self.offsets[passage] + shift)[:, None] + np.arange(BLOCK)].reshape(-1, BLOCK)
+        blocks, code = np.unique(blocks, axis=0, return_inverse=True)
+        # places of blocks, in order of block and first document
+        key = code.reshape(-1) * max(1, len(self.known)) + rank[passage]
+        by = np.argsort(key, kind="stable")
+        self.keys, self.passage, self.shift = key[by], passage[by], shift[by]
+        self.bounds = np.searchsorted(self.keys, np.arange(len(blocks) + 1) * max(1, len(self.known)))
+        self.base = math.isqrt(len(self.numbers)) + 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k in range(len(blocks)):
+            self.automaton.add_word(self.digits(blocks[k]), k)
+        if len(blocks):
             self.automaton.make_automaton()
-        self.any = bool(blocks)
 
-    def spans(self, text: str, firsts: set[int]) -> tuple[list[int], list[int]]:
-        """Word ranges of text that are occurrences of passages that are first in one of `firsts`."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        w = Words(K.Block(raw, np.array([0, len(raw)]), 0))
-        if not self.any or len(w.hashes) < WINDOW:
-            return [], []
-        size = w.ends - w.starts + 1
-        data = K.gather(np.append(raw, np.uint8(32)), w.starts, size)
-        at = np.concatenate([[0], np.cumsum(size)])
-        data[at[1:] - 1] = 32
-        line = " " + data.tobytes().decode()
-        leads = np.concatenate([[0], np.cumsum(K.LEADS[data])])
-        starts = leads[at[:-1]]  # of words, in characters of line less its first
-        ends, found = [], []
-        for end, value in self.automaton.iter(line):
-            ends.append(end)
-            found.append(value)
-        if not ends:
+    def digits(self, ids: np.ndarray) -> tuple[int, ...]:
+        return tuple(np.stack([ids // self.base, self.base + ids % self.base], 1).reshape(-1).tolist())
+
+    def lines(self, word: np.ndarray, code: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Distinct passages, each with where it would begin in the text, that hits (block `code` at `word`) lie on: passage << 32 | 2**31 + begin. Some hits at a time."""
+        rank = np.searchsorted(self.known, firsts)
+        rank = rank[self.known[np.minimum(rank, len(self.known) - 1)] == firsts]
+        if not len(rank):
+            return np.zeros(0, np.int64)
+        found = [np.zeros(0, np.int64)]
+        codes, which = np.unique(code, return_inverse=True)
+        by = np.argsort(which, kind="stable")
+        word, ends = word[by], np.cumsum(np.bincount(which))
+        step = max(1, AT_ONCE // len(rank))
+        for u in range(0, len(codes), step):
+            some = codes[u : u + step]
+            # places of a block: all of them, or those of each first document, whichever are fewer
+            few = self.bounds[some + 1] - self.bounds[some] <= len(rank)
+            keys = (some[~few, None] * len(self.known) + rank).reshape(-1)
+            lo = np.concatenate([self.bounds[some[few]], np.searchsorted(self.keys, keys)])
+            hi = np.concatenate([self.bounds[some[few] + 1], np.searchsorted(self.keys, keys, "right")])
+            place = K.gather(np.arange(len(self.keys)), lo, hi - lo)
+            place = place[np.isin(self.keys[place] % len(self.known), rank)]
+            of = np.searchsorted(some, self.keys[place] // len(self.known)) + u
+            times = ends[of] - np.where(of > 0, ends[of - 1], 0)
+            # each place with every hit of its block
+            total = np.cumsum(times)
+            for a in range(0, int(total[-1]) if len(total) else 0, AT_ONCE):
+                pair = np.arange(a, min(a + AT_ONCE, int(total[-1])))
+                k = np.searchsorted(total, pair, "right")
+                begin = word[ends[of[k]] - (total[k] - pair)] - self.shift[place[k]]
+                found.append(np.unique((self.passage[place[k]] << 32) + (begin + (1 << 31))))
+                if len(found) > 16:
+                    found = [np.unique(np.concatenate(found))]
+        return np.unique(np.concatenate(found))
+
+    def spans(self, text: bytes, firsts: np.ndarray) -> tuple[list[int], list[int]]:
+        """Word ranges of text, apart from each other, that are covered by occurrences of passages that are first in one of `firsts`."""
+        get = self.numbers.get
+        ids = np.array([get(x, 0) for x in text.split()], np.int32)
+        n = len(ids)
+        if n < WINDOW or not len(self.automaton):
             return [], []
-        word = np.searchsorted(starts, np.array(ends) - np.array([v[0] for v in found]) + 1)
-        lines: set[tuple[int, int]] = set()
-        for i, (_, places) in zip(word.tolist(), found, strict=True):
-            for first in places.keys() & firsts if len(places) < len(firsts) else firsts & places.keys():
-                lines.update((p, i - j) for p, j in places[first])
-        lo, hi = [], []
-        n = len(w.hashes)
-        for p, shift in lines:
-            q = self.words[p]
-            a, b = max(0, shift), min(n, shift + len(q))
-            if b - a < WINDOW:
-                continue
-            differs = np.flatnonzero(w.hashes[a:b] != q[a - shift : b - shift]) + a
-            cuts = np.concatenate([[a - 1], differs, [b]])
-            long = np.flatnonzero(np.diff(cuts) > WINDOW)
-            lo += (cuts[long] + 1).tolist()
-            hi += cuts[long + 1].tolist()
-        return lo, hi
+        hits = np.array(list(self.automaton.iter(self.digits(ids))), np.int64).reshape(-1, 2)
+        lines = self.lines(hits[:, 0] // 2 - BLOCK + 1, hits[:, 1], firsts)
+        p, begin = lines >> 32, (lines & 0xFFFFFFFF) - (1 << 31)
+        a, b = np.maximum(begin, 0), np.minimum(begin + self.sizes[p], n)
+        p, begin, a, b = (x[b - a >= WINDOW] for x in (p, begin, a, b))
+        d = np.zeros(n + 1, np.int64)
+        total = np.cumsum(b - a)
+        i = 0
+        while i < len(p):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - (b[i] - a[i]) + AT_ONCE, "right")))
+            size = b[i:j] - a[i:j]
+            equal = K.gather(ids, a[i:j], size) == K.gather(self.ids, self.offsets[p[i:j]] + a[i:j] - begin[i:j], size)
+            # runs of equal words end with their line
+            tails = np.cumsum(size)
+            edges = np.flatnonzero(np.diff(np.insert(equal, np.concatenate([[0], tails]), False)))
+            s, e = edges[::2], edges[1::2]
+            long = e - s >= WINDOW
+            s, e = s[long], e[long]
+            line = np.searchsorted(tails + np.arange(len(tails)), s, "right")
+            back = a[i:j][line] - (tails - size)[line] - line
+            np.add.at(d, s + back, 1)
+            np.add.at(d, e + back, -1)
+            i = j
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(d[:n]) > 0, [False]])))
+        return edges[::2].tolist(), edges[1::2].tolist()
 
 
 SPANS = schema_of("doc_id long, row_key long, lo long[], hi long[]")
@@ -307,18 +365,23 @@ def locate(dealt: DataFrame) -> DataFrame:
     """dealt (shard, salt, kind, doc_id, row_key, text, firsts), sorted within partitions: passages (kind 0, doc_id their first document) before documents (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, passages, shard = None, [], None
+        at, shard = None, None
         for b in batches:
             out: list[tuple] = []
-            for key, kind, doc, row, text, firsts in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), *(b.column(k).to_pylist() for k in range(2, 7)), strict=True):
-                if key != at:
-                    at, passages, shard = key, [], None
+            keys = zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
+            texts, firsts = b.column(5), b.column(6)
+            # texts one by one: a batch of them as strings takes more memory than the automaton
+            for i, (of, salt, kind, doc, row) in enumerate(keys):
+                if (of, salt) != at:
+                    at, shard = (of, salt), None  # the old automaton goes before the next one comes
+                    shard = Shard()
+                text = texts[i].as_buffer().to_pybytes()
                 if kind == 0:
-                    passages.append((doc, text))
+                    shard.add(doc, text)
                     continue
-                if shard is None:
-                    shard = Shard(passages)
-                lo, hi = shard.spans(text, set(firsts))
+                if shard.automaton is None:
+                    shard.compile()
+                lo, hi = shard.spans(text, np.asarray(firsts[i].values))
                 if lo:
                     out.append((doc, row, lo, hi))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -336,7 +399,7 @@ def _finish(rows: DataFrame, with_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in K.blocks(b.column(2)):
+            for block in K.blocks(b.column(2), TEXT_BYTES):
                 w = Words(block)
                 d = np.zeros(len(w.starts) + 1, np.int64)
                 for k, step in ((3, 1), (4, -1)):

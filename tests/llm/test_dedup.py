@@ -1,7 +1,12 @@
 import hashlib
+import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from echoframe.llm import linededup, neardup, substring
@@ -140,6 +145,58 @@ def test_substring_texts(spark):
     assert got == {(r[0], r[2], r[3]) for r in plain_removed(rows) if r[2]}
 
 
+@pytest.mark.parametrize("at_once", [substring.AT_ONCE, 7])
+def test_shard_matches_brute_force(monkeypatch, at_once):
+    """Spans of one automaton: several first documents, repeated words, blanks beyond ASCII inside words, few items at a time."""
+    monkeypatch.setattr(substring, "AT_ONCE", at_once)
+    r = random.Random(4)
+    pool = ["a", "b", "a\u00a0b", "\u2003", "\u0436\u0437", "c" * 40]
+    base = [[r.choice(pool) for _ in range(r.randint(13, 60))] for _ in range(12)] + [["a"] * 50]
+    shard = substring.Shard()
+    for k, p in enumerate(base):
+        shard.add(k // 3, " ".join(p).encode())
+    shard.compile()
+    for _ in range(40):
+        text = []
+        for _ in range(4):
+            p = r.choice(base)
+            a = r.randint(0, len(p) - 5)
+            text += p[a : a + r.randint(5, 40)] + [r.choice([*pool, "other"])]
+        firsts = r.sample(range(7), 3)
+        windows = {tuple(p[j : j + 13]) for k, p in enumerate(base) if k // 3 in firsts for j in range(len(p) - 12)}
+        want = {q for j in range(len(text) - 12) if tuple(text[j : j + 13]) in windows for q in range(j, j + 13)}
+        lo, hi = shard.spans(" \n".join(text).encode(), np.array(firsts))
+        assert [q for s, e in zip(lo, hi, strict=True) for q in range(s, e)] == sorted(want)
+
+
+def test_shard_memory():
+    """Passages of 150,000 windows, and 4,000 texts: 65 MB with an automaton over characters and a batch of texts as strings, now 16."""
+    code = """
+import random, resource
+import numpy as np, pyarrow as pa
+from echoframe.llm import substring
+
+class Rows:
+    def mapInArrow(self, run, schema):
+        return run
+
+r = random.Random(1)
+pool = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 10))) for _ in range(30000)]
+text = lambda: " ".join(r.choices(pool, k=300))
+passages, docs = [text() for _ in range(520)], [text() for _ in range(4000)]
+n, m = len(passages), len(docs)
+kind = [0] * n + [1] * m
+batch = pa.RecordBatch.from_arrays([pa.array([0] * (n + m)), pa.array([0] * (n + m), pa.int32()), pa.array(kind, pa.int32()), pa.array([*range(n), *range(n, n + m)]), pa.array([0] * (n + m)), pa.array(passages + docs), pa.array([None] * n + [[0, 1]] * m, pa.list_(pa.int64()))], names=list("abcdefg"))
+del passages, docs
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for b in substring.locate(Rows())(iter([batch])):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(got.stdout) < 40
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
